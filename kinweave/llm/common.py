@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -29,10 +30,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df now and cuts its lineage with a checkpoint on shared storage, which survives lost executors."""
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Computes df now and cuts its lineage with a checkpoint on shared storage, which survives lost executors.
+
+    release asks both garbage collectors to run, so that shuffle files behind the cut are deleted now and not at
+    some later collection; worth it after a large shuffle only.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if release:
+        del df
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -87,9 +87,13 @@ def _windowed(length: int):
             for part in slices(batch):
                 w = _Words(part.column("text").to_pylist())
                 at: list[np.ndarray] = []
-                for d, seeds in enumerate(part.column("seeds").to_pylist()):
+                for d, (seeds, done) in enumerate(zip(part.column("opened").to_pylist(), part.column("covered").to_pylist(), strict=True)):
                     s = (np.array(seeds, dtype=np.int64)[:, None] - np.arange(side + 1)[None, :]).ravel()
-                    at.append(w.start[d] + np.unique(s[(s >= 0) & (s + length <= w.n[d])]))
+                    todo = np.zeros(w.n[d] + 1, dtype=bool)
+                    todo[s[(s >= 0) & (s + length <= w.n[d])]] = True
+                    c = (np.array(done, dtype=np.int64)[:, None] - np.arange(side + 1)[None, :]).ravel()
+                    todo[c[c >= 0]] = False  # inside a covered context, so known to be a repeat
+                    at.append(w.start[d] + np.flatnonzero(todo))
                 s = np.concatenate(at)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[w.doc[s]]), pa.array((s - w.start[w.doc[s]]).astype(np.int32)), pa.array(w.range_hash(s, s + length).view(np.int64)), pa.array(w.second_hash(s, length).view(np.int64))], names=["doc_id", "pos", "w1", "w2"])
@@ -145,34 +149,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document, all windows around the anchor are repeats; this settles the inside of long repeats without comparing
     pairs of documents. Only seeds whose anchor, but not whose context, stood in a smaller document stay open,
     mostly at ends of repeats: they, and first contexts with the same anchor, spell out their windows, which are
-    compared by 128-bit hash with a pre-aggregated minimum. Overlapping repeats merge into maximal runs.
+    compared by 128-bit hash with a pre-aggregated minimum (windows inside a settled context are left out: the
+    smallest document that has a window never holds it in a settled context). Overlapping repeats merge into maximal runs.
     Copies of a passage never meet in pairs: each key keeps its smallest document only.
     """
     if length <= ANCHOR or length > 40:
         raise ValueError(f"length must be {ANCHOR + 1} to 40")
-    n = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = base.where("doc_id is not null")
-    anchors = known.mapInArrow(_anchored(length), "doc_id long, pos int, anchor long, context long")
+    marks = cut(_marks(known, length, partitions(docs.sparkSession)), release=True)
+    # the three joins below read one shuffle of the texts
+    opened = known.join(marks.where("size(opened) > 0"), "doc_id")
+    windows = opened.select("doc_id", "text", "covered", "opened").mapInArrow(_windowed(length), "doc_id long, pos int, w1 long, w2 long")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    again = windows.join(first, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("windows"))
+    judged = known.join(marks.select("doc_id", "covered"), "doc_id", "left").join(again, "doc_id", "left")
+    spared = base.where("doc_id is null").withColumns({c: F.lit(None).cast("array<int>") for c in ("covered", "windows")})
+    return judged.unionByName(spared).select("doc_id", "text", "covered", "windows").mapInArrow(
+        _kept(length), "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def _marks(known: DataFrame, length: int, n: int) -> DataFrame:
+    """Per document with shared anchors, positions of covered and of opened seeds: doc_id, covered, opened."""
     by_context, by_anchor = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
     seeds = (
-        anchors.repartition(n, "anchor").sortWithinPartitions("anchor", "context")
+        known.mapInArrow(_anchored(length), "doc_id long, pos int, anchor long, context long")
+        .repartition(n, "anchor").sortWithinPartitions("anchor", "context")
         .withColumn("same", F.min("doc_id").over(by_context))
         .withColumn("least", F.min("doc_id").over(by_anchor))
-        .withColumn("most", F.max("doc_id").over(by_anchor))
-        .where("least < most")
-        .select("doc_id", "pos", "anchor", "same", "least")
+        .withColumn("open", F.max(F.expr("same = doc_id and least < doc_id")).over(by_anchor))
+        .where("same < doc_id or open")
+        .select("doc_id", "pos", F.expr("same < doc_id").alias("done"))
     )
-    seeds = cut(seeds)
-    covered = seeds.where("same < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("covered"))
-    open_anchor = seeds.where("same = doc_id and least < doc_id").select("anchor").distinct()
-    opened = seeds.where("same = doc_id").join(open_anchor, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
-    windows = cut(known.join(opened, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_windowed(length), "doc_id long, pos int, w1 long, w2 long"))
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    again = windows.join(first, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("windows"))
-    marks = covered.join(again, "doc_id", "full")
-    return base.join(marks, "doc_id", "left").select("doc_id", "text", "covered", "windows").mapInArrow(
-        _kept(length), "doc_id long, n_words long, n_removed long, kept_text string")
+    return seeds.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("done"), F.col("pos"))).alias("covered"), F.collect_list(F.when(~F.col("done"), F.col("pos"))).alias("opened"))
 
 
 def remove_repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
