@@ -12,9 +12,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, texts
 
 #: Fixed value: the pre-tokenising pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -190,7 +189,7 @@ def _coded(path: str):
 
 def encode_texts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids array<int>, decoded (the text those ids decode to). See encode_digests."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     return base.mapInArrow(_coded(tokenizer_file), "doc_id long, ids array<int>, decoded string")
 
 
@@ -203,5 +202,5 @@ def encode_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
 
     Plan: one scan, no shuffle. Distinct words of a slice are encoded side by side; a bounded cache keeps frequent ones.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     return base.mapInArrow(_digests(tokenizer_file), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +42,19 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     if release:
         del df
         gc.collect()
+        time.sleep(1)  # Python's references are dropped on the JVM's side by a thread
         out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id long, text). Columns that are already so called stay untouched, which lets Spark recognise equal
+    subplans and read one shuffle of the texts several times."""
+    kinds = dict(docs.dtypes)
+    doc = F.col("doc_id") if id_col == "doc_id" and kinds.get("doc_id") == "bigint" else F.col(id_col).cast("long").alias("doc_id")
+    return docs.select(doc, F.col("text") if text_col == "text" else F.col(text_col).alias("text"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, groups, partitions, slices
+from .common import connected_components, cut, groups, partitions, slices, texts
 from .shingles import band_hashes, linked, min_labels, set_digests, shingle_sets, super_minhash
 
 #: 28 bands of 6 slots: a pair at similarity 0.85 shares no band with probability 2e-6, at 0.5 it shares one with 0.36.
@@ -81,7 +81,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     g(g+1)/2 tasks that compare block with block by matrix products and return a spanning forest of the links.
     (4) Components of the links label the representatives, and the digest takes labels back to all rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     sig = cut(base.mapInArrow(_signed(bands, rows, k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
     reps = sig.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices
+from .common import cut, partitions, slices, texts
 
 #: The pre-tokenising pattern of the byte-level vocabulary and its special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text_col: str
     slot table has a row per pattern and length, bounded by the histogram, not by the data.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     salts = 4 * partitions(spark)
     pieces = cut(base.mapInArrow(_pieces(ranks_file, special_id, end_id, capacity), PIECES)
                  .withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")))

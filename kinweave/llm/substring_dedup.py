@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, partitions, slices
+from .common import cut, mix64, partitions, slices, texts
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -155,13 +155,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length <= ANCHOR or length > 40:
         raise ValueError(f"length must be {ANCHOR + 1} to 40")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     known = base.where("doc_id is not null")
     marks = cut(_marks(known, length, partitions(docs.sparkSession)), release=True)
     # the three joins below read one shuffle of the texts
     opened = known.join(marks.where("size(opened) > 0"), "doc_id")
     windows = opened.select("doc_id", "text", "covered", "opened").mapInArrow(_windowed(length), "doc_id long, pos int, w1 long, w2 long")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     again = windows.join(first, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("windows"))
     judged = known.join(marks.select("doc_id", "covered"), "doc_id", "left").join(again, "doc_id", "left")
     spared = base.where("doc_id is null").withColumns({c: F.lit(None).cast("array<int>") for c in ("covered", "windows")})

@@ -8,10 +8,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices
+from .common import slices, texts
 
 #: Bytes handed to the library in one call, and entries of a worker's cache of chunk lengths.
 CALL_BYTES, CACHE = 1 << 20, 300_000
@@ -73,5 +72,5 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     A null text counts as empty (0 tokens); a null id stays null; repeated rows are counted each; no row is
     dropped. Other columns of docs are not read. Plan: one scan, no shuffle.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     return base.mapInArrow(_counted(tokenizer_file, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

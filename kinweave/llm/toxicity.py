@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, texts
 
 #: Groups of identity terms; a counterfactual replaces a term by the others of its group.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     # at most `rows` narrow rows: a proven bound, so broadcasting spares a shuffle of all texts
     got = base.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
         _featurised, "doc_id long, toxic int, own array<long>, swapped array<array<long>>")
@@ -182,7 +182,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             s = [score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, type=pa.float64())], names=["doc_id", "score"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = texts(docs, id_col, text_col)
     return base.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
