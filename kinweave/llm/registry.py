@@ -11,7 +11,7 @@ from .bpe import encode_digests
 from .exact_dedup import exact_duplicates
 from .minhash_dedup import near_duplicates
 from .packing import pack
-from .substring_dedup import remove_repeats_digest
+from .substring_dedup import remove_repeats
 from .token_count import token_counts
 from .toxicity import toxicity_scores, train
 
@@ -38,7 +38,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats_digest(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def _windowed(length: int):
     return run
 
 
-def _kept(length: int):
+def _kept(length: int, digest: bool):
     side = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,20 +123,16 @@ def _kept(length: int):
                     stay = np.cumsum(edge[:n]) == 0
                     total.append(n)
                     gone.append(n - int(stay.sum()))
-                    text.append(b" ".join(words if stay.all() else [words[i] for i in np.flatnonzero(stay)]).decode("utf-8"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(text, type=pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+                    kept = b" ".join(words if stay.all() else [words[i] for i in np.flatnonzero(stay)])
+                    text.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(text, type=pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"])
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sha = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in batch.column("kept_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), pa.array(sha, type=pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, digest: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words joined by one space; with digest
+    its SHA-256 as kept_sha256 instead).
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. A word goes if some window of `length` consecutive words that covers it
     starts in a document with a smaller id too. Windows are judged on the input. Null and empty texts have no
@@ -166,7 +162,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = known.join(marks.select("doc_id", "covered"), "doc_id", "left").join(again, "doc_id", "left")
     spared = base.where("doc_id is null").withColumns({c: F.lit(None).cast("array<int>") for c in ("covered", "windows")})
     return judged.unionByName(spared).select("doc_id", "text", "covered", "windows").mapInArrow(
-        _kept(length), "doc_id long, n_words long, n_removed long, kept_text string")
+        _kept(length, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
 
 
 def _marks(known: DataFrame, length: int, n: int) -> DataFrame:
@@ -183,8 +179,3 @@ def _marks(known: DataFrame, length: int, n: int) -> DataFrame:
     )
     return seeds.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("done"), F.col("pos"))).alias("covered"), F.collect_list(F.when(~F.col("done"), F.col("pos"))).alias("opened"))
-
-
-def remove_repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
-    """remove_repeats with the kept text's SHA-256 in place of the text."""
-    return remove_repeats(docs, id_col, text_col, length).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
