@@ -71,9 +71,17 @@ def _anchored(length: int):
                 p = w.anchors(length)
                 d = w.doc[p]
                 a, b = np.maximum(w.start[d], p - side), np.minimum(w.start[d + 1], p + length)
-                context = w.range_hash(a, b, (p - a) * 64 + (b - p))
+                anchor, context = w.range_hash(p, p + ANCHOR), w.range_hash(a, b, (p - a) * 64 + (b - p))
+                # a document's equal seeds travel as one row
+                order = np.lexsort((p, context, anchor, d))
+                p, d, anchor, context = p[order], d[order], anchor[order], context[order]
+                new = np.append(True, (d[1:] != d[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1]))[: len(p)]
+                head, pos = np.flatnonzero(new), (p - w.start[d]).astype(np.int32)
+                size = np.diff(np.append(head, len(p)))
+                ends = np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[~new]), mask=pa.array(size == 1))
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array((p - w.start[d]).astype(np.int32)), pa.array(w.range_hash(p, p + ANCHOR).view(np.int64)), pa.array(context.view(np.int64))], names=["doc_id", "pos", "anchor", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d[head]]), pa.array(pos[head]), rest, pa.array(anchor[head].view(np.int64)), pa.array(context[head].view(np.int64))], names=["doc_id", "pos", "rest", "anchor", "context"])
 
     return run
 
@@ -169,13 +177,13 @@ def _marks(known: DataFrame, length: int, n: int) -> DataFrame:
     """Per document with shared anchors, positions of covered and of opened seeds: doc_id, covered, opened."""
     by_context, by_anchor = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
     seeds = (
-        known.mapInArrow(_anchored(length), "doc_id long, pos int, anchor long, context long")
+        known.mapInArrow(_anchored(length), "doc_id long, pos int, rest array<int>, anchor long, context long")
         .repartition(n, "anchor").sortWithinPartitions("anchor", "context")
         .withColumn("same", F.min("doc_id").over(by_context))
         .withColumn("least", F.min("doc_id").over(by_anchor))
         .withColumn("open", F.max(F.expr("same = doc_id and least < doc_id")).over(by_anchor))
         .where("same < doc_id or open")
-        .select("doc_id", "pos", F.expr("same < doc_id").alias("done"))
+        .select("doc_id", F.explode(F.expr("concat(array(pos), coalesce(rest, array()))")).alias("pos"), F.expr("same < doc_id").alias("done"))
     )
     return seeds.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("done"), F.col("pos"))).alias("covered"), F.collect_list(F.when(~F.col("done"), F.col("pos"))).alias("opened"))
