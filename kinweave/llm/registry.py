@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_digests
+from .chat import format_chat
+from .embedding_dedup import embedding_duplicates
 from .exact_dedup import exact_duplicates
 from .minhash_dedup import near_duplicates
 from .packing import pack
+from .pii import pii_digest
 from .substring_dedup import remove_repeats
 from .token_count import token_counts
 from .toxicity import toxicity_scores, train
@@ -20,6 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The one tool that op2's calls use: a user's turn asks it for a reply.
+REPLY = {"reply": {"type": "object", "properties": {"prompt": {"type": "string"}}, "required": ["prompt"], "additionalProperties": False}}
+
+
+def turns_as_calls(conversations: DataFrame) -> DataFrame:
+    """Events of a plain conversation, each user turn a call of the tool `reply` and each assistant turn the result
+    of the turn before it; other roles stay messages. Ids are conversation and turn of the call."""
+    none = F.lit(None).cast("string")
+    call, result = F.col("role") == "user", F.col("role") == "assistant"
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn")
+    return conversations.select(
+        "conv_id", "turn", F.lit(0).alias("item"),
+        F.when(call, "call").when(result, "result").otherwise(F.col("role")).alias("role"),
+        F.when(call, "reply").otherwise(none).alias("name"),
+        F.when(call, F.concat(conv, F.lit("-"), turn.cast("string"))).when(result, F.concat(conv, F.lit("-"), (turn - 1).cast("string"))).alias("call_id"),
+        F.when(~call | F.col("role").isNull(), F.col("text")).alias("text"),
+        F.when(call, F.to_json(F.struct(F.col("text").alias("prompt")), {"ignoreNullFields": "false"})).alias("arguments"),
+    )
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,12 +81,35 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op4_packing, op5_minhash_dedup, op6_toxicity, op7_substring_dedup, op8_token_counts, op9_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_embedding_dedup, op2_chat_format, op3_bpe, op4_packing, op5_minhash_dedup,
+        op6_toxicity, op7_substring_dedup, op8_token_counts, op9_exact_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_format": """
+            WITH e AS (
+              SELECT conv_id, turn, text, role,
+                     CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+                     CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id
+              FROM conversations),
+            c AS (SELECT conv_id, call_id, min(turn) AS own FROM e WHERE kind = 'call' GROUP BY ALL),
+            r AS (SELECT conv_id, call_id, min(turn) AS answer FROM e WHERE kind = 'result' GROUP BY ALL)
+            SELECT e.conv_id, e.turn, 0 AS item, e.kind, e.call_id,
+                   CASE e.kind WHEN 'call' THEN e.turn = c.own AND r.answer IS NOT NULL WHEN 'result' THEN c.own IS NOT NULL END AS linked,
+                   CASE e.kind WHEN 'call' THEN e.text IS NOT NULL END AS valid,
+                   false AS cyclic, e.turn AS order_turn, 0 AS order_level,
+                   CASE e.kind
+                     WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(e.text) || '},"id":' || to_json(e.call_id) || ',"name":"reply","role":"call"}'
+                     WHEN 'result' THEN '{"content":' || to_json(e.text) || ',"role":"result","tool_call_id":' || to_json(e.call_id) || '}'
+                     ELSE '{"content":' || to_json(e.text) || ',"role":' || to_json(e.role) || '}' END AS json
+            FROM e LEFT JOIN c USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)""",
         "op9_exact_dedup": """
             WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
