@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import cut, slices, texts
 
 #: Groups of identity terms; a counterfactual replaces a term by the others of its group.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -35,10 +35,10 @@ CACHE = 200_000
 
 
 def word_features(word: bytes) -> list[int]:
-    """Hashes of a word and of its prefixes of 4 to 7 letters, which carry stems."""
-    out = [xxhash.xxh3_64_intdigest(b"w:" + word) >> 1]
+    """31-bit hashes of a word and of its prefixes of 4 to 7 letters, which carry stems."""
+    out = [xxhash.xxh32_intdigest(b"w:" + word) >> 1]
     text = word.decode("utf-8", "replace")
-    out += [xxhash.xxh3_64_intdigest(b"p:" + text[:k].encode("utf-8")) >> 1 for k in _PREFIXES if len(text) > k]
+    out += [xxhash.xxh32_intdigest(b"p:" + text[:k].encode("utf-8")) >> 1 for k in _PREFIXES if len(text) > k]
     return out
 
 
@@ -71,38 +71,43 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # each counterfactual exchanges every identity term for the same place of its group
                 turns = [[o[i % len(o)] for o in (_SWAP[w] for w in hit)] for i in range(max((len(_SWAP[w]) for w in hit), default=0))]
                 swapped.append([sorted({f for w in (ws - set(hit)) | set(new) for f in features(w)}) for new in turns])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(own, type=pa.list_(pa.int64())), pa.array(swapped, type=pa.list_(pa.list_(pa.int64())))], names=["doc_id", "toxic", "own", "swapped"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(own, type=pa.list_(pa.int32())), pa.array(swapped, type=pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "own", "swapped"])
 
 
-def fit(rows: list[tuple[int, list[int], list[list[int]]]]) -> Model:
-    """Logistic regression on the FEATURES hashed features of largest likelihood ratio, minimising log loss +
-    RIDGE |w|^2 + FAIRNESS * mean over counterfactuals of (logit - logit of the swapped text)^2.
+def _selected(names: np.ndarray):
+    """Features as places in `names`, which is sorted; the others go."""
+    def places(x: list[int]) -> list[int]:
+        x = np.array(x, dtype=np.int64)
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        return at[names[at] == x].tolist()
 
-    Identity terms are always features, whatever their likelihood ratio, so that the penalty has something to
-    act on. Without rows of both labels the score is the smoothed share of toxic rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [places(x) for x in batch.column("own").to_pylist()]
+            swapped = [[places(y) for y in x] for x in batch.column("swapped").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, type=pa.list_(pa.int32())), pa.array(swapped, type=pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "own", "swapped"])
+
+    return run
+
+
+def identity_features() -> set[int]:
+    return {f for t in _SWAP for f in word_features(t)}
+
+
+def fit(rows: list[tuple[int, list[int], list[list[int]]]], names: np.ndarray) -> Model:
+    """Logistic regression over rows of (toxic, places of features in names, the same for each counterfactual),
+    minimising log loss + RIDGE |w|^2 + FAIRNESS * mean over counterfactuals of (logit - its logit)^2.
+
+    Without rows of both labels the score is the smoothed share of toxic rows."""
     y = np.array([r[0] for r in rows], dtype=np.float64)
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         share = (pos + 0.5) / (len(y) + 1) if len(y) else 0.0
         return Model({}, float(np.log(share / (1 - share))) if len(y) else -30.0)
-    doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    feat = np.concatenate([np.array(r[1], dtype=np.int64) for r in rows])
-    uniq, inv = np.unique(feat, return_inverse=True)
-    a = np.bincount(inv, weights=y[doc])
-    b = np.bincount(inv) - a
-    pa_, pb = (a + 0.5) / (pos + 1), (b + 0.5) / (neg + 1)
-    # binomial likelihood ratio, positives weighted up to the negatives' number
-    g = np.where(a + b >= 3, np.abs(np.log(pa_ / pb)) * np.abs(a - b * pos / neg), 0)
-    top = uniq[np.argsort(-g, kind="stable")[:FEATURES]]
-    identity = np.array([f for t in _SWAP for f in word_features(t)], dtype=np.int64)
-    names = np.unique(np.concatenate([top[: int((g > 0).sum())], identity]))
 
     def matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        f = np.concatenate([np.array(x, dtype=np.int64) for x in lists]) if lists else np.empty(0, dtype=np.int64)
-        col = np.minimum(np.searchsorted(names, f), len(names) - 1)
-        hit = names[col] == f
-        return at[hit], col[hit]
+        return at, np.array([f for x in lists for f in x], dtype=np.int64)
 
     row, col = matrix([r[1] for r in rows])
     pairs = [(i, s) for i, r in enumerate(rows) for s in r[2]]
@@ -132,19 +137,28 @@ def fit(rows: list[tuple[int, list[int], list[list[int]]]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """Fits on at most `rows` labelled rows: those whose crc32(id) mod 5 is not 0 with the least hash of id.
 
-    Null labels and ids are left out; several labels of an id count as toxic if any is. Texts are turned into
-    feature hashes on the executors; the driver gets those of at most `rows` texts.
+    Null labels and ids are left out; several labels of an id count as toxic if any is. Texts become feature hashes
+    on the executors, where the FEATURES of largest likelihood ratio are found by an aggregate (the terms of
+    IDENTITY_GROUPS are features in any case, so that the penalty has something to act on). The driver gets those
+    features' places in at most `rows` texts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
-    sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    base = texts(docs, id_col, text_col)
+    sample = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` narrow rows: a proven bound, so broadcasting spares a shuffle of all texts
-    got = base.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
-        _featurised, "doc_id long, toxic int, own array<long>, swapped array<array<long>>")
-    data = got.toArrow().sort_by("doc_id")
-    own, swapped, toxic = data.column("own"), data.column("swapped"), data.column("toxic").to_pylist()
-    return fit([(int(t > 0), own[i].values.to_numpy(zero_copy_only=False), swapped[i].as_py()) for i, t in enumerate(toxic)])
+    kind = "doc_id long, toxic int, own array<int>, swapped array<array<int>>"
+    data = cut(texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_featurised, kind))
+    total = {r.toxic: r.n for r in data.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    pos, neg = total.get(1, 0), total.get(0, 0)
+    # binomial likelihood ratio with toxic rows weighted up to the others' number
+    share_a, share_b = (F.col("a") + 0.5) / (pos + 1), (F.col("n") - F.col("a") + 0.5) / (neg + 1)
+    gain = F.abs(F.log(share_a / share_b)) * F.abs(F.col("a") - (F.col("n") - F.col("a")) * pos / max(neg, 1))
+    top = (
+        data.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+        .where("n >= 3").orderBy(gain.desc(), "f").limit(FEATURES).select("f").collect())
+    names = np.array(sorted({r.f for r in top} | identity_features()), dtype=np.int64)
+    got = data.mapInArrow(_selected(names), kind).toArrow().sort_by("doc_id")
+    return fit([(r["toxic"], r["own"], r["swapped"]) for r in got.to_pylist()], names)
 
 
 def _scorer(model: Model):
