@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut, texts
 
 
 def md5_key(text: Column) -> Column:
@@ -20,42 +20,35 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when their normalised bytes are; a null text counts as empty. The row with the largest
     (or smallest) id of a group stays. The key only proposes groups: every member's bytes are compared with the
-    kept row's, and members that differ are grouped again by their whole text, so a collision cannot merge texts.
+    other's, and groups that hold different bytes are grouped again by their whole text, so a collision cannot merge texts.
 
     A row with a null id counts in group_size but can only stay in a group that has no id at all (keep_id null).
     Repeated rows (same id and text) count once each and share one fate. An empty table gives an empty result.
     Other columns of docs are not read, so their names cannot clash.
 
-    Plan: narrow rows (id, 16-byte key, 32-byte digest) are aggregated map-side per key and joined back, a join
-    that AQE splits where one key holds many rows. Text is shuffled once, by id, which has no hot key; only
-    members of groups of two or more go on to the byte comparison.
+    Plan: one scan makes narrow rows (id, 16-byte key, 32-byte digest), which are checkpointed, aggregated map-side
+    per key and joined back. Text is shuffled once, by id, which has no hot key; members of groups of two or more
+    then meet in a map-side minimum and maximum of their bytes per key, which agree exactly if all bytes do, so a
+    huge group sends one text per task. Only keys where they differ are grouped again by whole text.
     """
     best = {"largest": F.max, "smallest": F.min}[keep]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    rows = base.select("doc_id", key(F.col("norm")).alias("k"), F.unhex(F.sha2("norm", 256)).alias("sha"))
+    raw = texts(docs, id_col, text_col)
+    norm = normalise(F.coalesce("text", F.lit("")))
+    rows = cut(raw.select("doc_id", norm.alias("norm")).select("doc_id", key(F.col("norm")).alias("k"), F.unhex(F.sha2("norm", 256)).alias("sha")))
     sizes = rows.groupBy("k").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
     rows = rows.join(sizes, "k")
 
     # byte comparison inside groups: text is fetched for members of real groups only
-    role = rows.where("n > 1 and doc_id is not null").select("doc_id", "k", "keep_id").distinct()
-    member = base.withColumn("k", key(F.col("norm"))).where("doc_id is not null").join(role, ["doc_id", "k"])
-    leader = member.where("doc_id = keep_id").groupBy("k").agg(F.max("norm").alias("lead"))
-    odd = member.where("doc_id <> keep_id").join(leader, "k").where("norm <> lead").select("doc_id", "k", "norm")
-    apart = odd.groupBy("k", "norm").agg(best("doc_id").alias("own_keep"), F.count("*").alias("own_n"))
-    fixed = odd.join(apart, ["k", "norm"]).select("doc_id", "k", F.unhex(F.sha2("norm", 256)).alias("sha"), "own_keep", "own_n").distinct()
-    lost = apart.groupBy("k").agg(F.sum("own_n").alias("lost"))
-
-    return (
-        rows.join(fixed, ["doc_id", "k", "sha"], "left")
-        .join(lost, "k", "left")
-        .select(
-            "doc_id",
-            F.coalesce("own_keep", "keep_id").alias("keep_id"),
-            F.coalesce("own_n", F.col("n") - F.coalesce("lost", F.lit(0))).alias("group_size"),
-            F.col("doc_id").eqNullSafe(F.coalesce("own_keep", "keep_id")).alias("kept"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
-        )
-    )
+    role = rows.where("n > 1 and doc_id is not null").select("doc_id", "k").distinct()
+    member = raw.join(role, "doc_id").select("doc_id", norm.alias("norm"), "k").where(key(F.col("norm")) == F.col("k"))
+    unequal = cut(member.groupBy("k").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("k"), release=True)
+    if not unequal.isEmpty():
+        apart = member.join(unequal, "k", "left_semi").groupBy("k", "norm").agg(best("doc_id").alias("own_keep"), F.count("*").alias("own_n"))
+        apart = apart.select("k", F.unhex(F.sha2("norm", 256)).alias("sha"), "own_keep", "own_n")
+        rows = rows.join(apart, ["k", "sha"], "left").withColumns({"keep_id": F.coalesce("own_keep", "keep_id"), "n": F.coalesce("own_n", "n")})
+    return rows.select(
+        "doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
