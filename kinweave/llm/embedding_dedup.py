@@ -155,7 +155,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         task.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
         .mapInArrow(_compared(threshold), "vec_id long, n long, low long"))
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("low < vec_id").select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
+    components = connected_components(found.where("low <> vec_id").select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
     own = reps.select("h1", "h2", F.col("vec_id").alias("rep"), "w")
     return _result(everyone.join(own, ["h1", "h2"], "left"), links, components)
 

@@ -28,7 +28,7 @@ _SWAP = {t.encode(): [o.encode() for o in g if o != t] for g in IDENTITY_GROUPS
 #: Bounds of the fit: labelled rows (the least by hash of id), features kept by score, passes.
 TRAIN_ROWS, FEATURES, PASSES = 12_000, 4096, 300
 #: Weights of the counterfactual and the quadratic penalty.
-FAIRNESS, RIDGE = 4.0, 1e-4
+FAIRNESS, RIDGE = 20.0, 1e-4
 _PUNCT = b".,;:!?%*&$#|\"'()[]{}<>-_~"
 _PREFIXES = (4, 5, 6, 7)
 CACHE = 200_000
@@ -68,8 +68,9 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ws = words(t)
                 own.append(sorted({f for w in ws for f in features(w)}))
                 hit = [w for w in ws if w in _SWAP]
-                # each counterfactual exchanges every identity term for the same place of its group
-                turns = [[o[i % len(o)] for o in (_SWAP[w] for w in hit)] for i in range(max((len(_SWAP[w]) for w in hit), default=0))]
+                # each counterfactual exchanges every identity term for the same place of its group; one for no group at all,
+                # else equal weights on all terms of a group would cost nothing
+                turns = [[o[i % len(o)] for o in (_SWAP[w] for w in hit)] for i in range(max((len(_SWAP[w]) for w in hit), default=0))] + [[]] * bool(hit)
                 swapped.append([sorted({f for w in (ws - set(hit)) | set(new) for f in features(w)}) for new in turns])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(own, type=pa.list_(pa.int32())), pa.array(swapped, type=pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "own", "swapped"])
 
