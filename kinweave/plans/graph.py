@@ -89,8 +89,9 @@ def choose_one(spark, sf_dir):
   k AS (SELECT *, trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM c),
   qv AS (SELECT key, stated_id, count(DISTINCT person_id) AS n FROM k WHERE stated_id LIKE 'wd:Q%' GROUP BY ALL), qm AS (SELECT *, max(n) OVER (PARTITION BY key) AS m FROM qv),
   q AS (SELECT key, CASE WHEN count(*) = 1 THEN min(stated_id) END AS id FROM qm WHERE n = m GROUP BY key),
-  o AS (SELECT key, stated_id AS id FROM (SELECT key, stated_id, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, stated_id) AS r FROM k WHERE stated_id NOT LIKE 'wd:Q%' GROUP BY key, stated_id) WHERE r = 1)
-  SELECT DISTINCT k.key, coalesce(q.id, o.id) AS hub_id FROM k LEFT JOIN q USING (key) LEFT JOIN o USING (key)""")
+  o AS (SELECT key, stated_id AS id FROM (SELECT key, stated_id, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, stated_id) AS r FROM k WHERE stated_id NOT LIKE 'wd:Q%' GROUP BY key, stated_id) WHERE r = 1),
+  t AS (SELECT key, type || ':' || key AS id FROM (SELECT key, type, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, type) AS r FROM k GROUP BY key, type) WHERE r = 1)
+  SELECT DISTINCT k.key, coalesce(q.id, o.id, t.id) AS hub_id FROM k LEFT JOIN q USING (key) LEFT JOIN o USING (key) LEFT JOIN t USING (key)""")
 def canonical_hub(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     claims = p.select((k % 97).alias("person_id"), F.col("p_name").alias("label"), F.col("p_type").alias("type"),
