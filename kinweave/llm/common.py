@@ -41,9 +41,10 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     out = df.checkpoint(eager=True)
     if release:
         del df
-        gc.collect()
-        time.sleep(1)  # Python's references are dropped on the JVM's side by a thread
-        out.sparkSession.sparkContext._jvm.System.gc()
+        for _ in range(3):  # Python's references are dropped on the JVM's side by a thread, a finished query's by its listeners
+            gc.collect()
+            time.sleep(0.7)
+            out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
