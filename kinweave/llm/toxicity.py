@@ -31,7 +31,7 @@ TRAIN_ROWS, FEATURES, PASSES = 12_000, 4096, 300
 FAIRNESS, RIDGE = 20.0, 1e-4
 _PUNCT = b".,;:!?%*&$#|\"'()[]{}<>-_~"
 _PREFIXES = (4, 5, 6, 7)
-CACHE = 200_000
+CACHE, FEATURE_CACHE = 100_000, 30_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -57,7 +57,7 @@ class Model:
 
 
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    @lru_cache(maxsize=CACHE)
+    @lru_cache(maxsize=FEATURE_CACHE)
     def features(w: bytes) -> tuple[int, ...]:
         return tuple(word_features(w))
 
@@ -194,8 +194,9 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model)
         for batch in batches:
-            s = [score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, type=pa.float64())], names=["doc_id", "score"])
+            for part in slices(batch):
+                s = [score(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s, type=pa.float64())], names=["doc_id", "score"])
 
     base = texts(docs, id_col, text_col)
     return base.mapInArrow(run, "doc_id long, score double").select(
@@ -207,7 +208,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(model)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([score(t) < 0.5 for t in texts], type=pa.bool_()))
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array([score(t) < 0.5 for t in part.column(text_col).to_pylist()], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
