@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -13,7 +15,9 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 SKIPPED = frozenset("script style noscript template svg nav footer head iframe form".split())
 BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article header ul ol table blockquote pre main".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/feed+json")
+FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/rdf+xml", "application/feed+json", "text/xml")
+#: Last path segments that name a feed.
+FEED_NAMES = ("feed", "feeds", "feed.xml", "feed.atom", "feed.json", "rss", "rss.xml", "atom", "atom.xml", "index.xml", "index.rss")
 
 
 class _Page(HTMLParser):
@@ -32,8 +36,10 @@ class _Page(HTMLParser):
         a = dict(attrs)
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
-        if tag == "link" and "alternate" in (a.get("rel") or "").lower() and (a.get("type") or "").lower() in FEED_TYPES and a.get("href"):
-            self.feeds.append(a["href"])
+        if tag == "link" and a.get("href") and {"alternate", "feed"} & set((a.get("rel") or "").lower().split()):
+            kind = (a.get("type") or "").partition(";")[0].strip().lower()
+            if kind in FEED_TYPES or urlsplit(a["href"]).path.lower().rstrip("/").rpartition("/")[2] in FEED_NAMES:
+                self.feeds.append(a["href"].strip())
         if tag == "title":
             self.in_title = True
         if tag in SKIPPED or "cookie" in f"{a.get('class') or ''} {a.get('id') or ''}".lower():
@@ -103,3 +109,142 @@ def feed_parts(xml: str | None) -> list[dict]:
 @F.pandas_udf(ENTRIES)
 def feed(xml: pd.Series) -> pd.Series:
     return xml.map(feed_parts)
+
+
+@F.pandas_udf(PAGE)
+def page_at(url: pd.Series, html: pd.Series) -> pd.DataFrame:
+    """page() with links and feeds made absolute, without fragments, each once."""
+    def at(base, html):
+        p = page_parts(html)
+        for k in ("links", "feeds"):
+            p[k] = list(dict.fromkeys(x for x in (_join(base, h) for h in p[k]) if x))
+        return p
+
+    return pd.DataFrame([at(u or "", h) for u, h in zip(url, html)], columns=["text", "title", "links", "feeds"])
+
+
+def _join(base: str, href: str) -> str:
+    try:
+        return urljoin(base, href.strip()).split("#", 1)[0]
+    except ValueError:
+        return ""
+
+
+class _Marked(HTMLParser):
+    """Texts of elements that a rule names, in order: (name, text, link) whenever one ends."""
+
+    def __init__(self, rule) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rule, self.open, self.found = rule, None, []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        name = self.rule(tag, a)
+        if name:
+            self.end()
+            self.open = (name, tag, [], a.get("href", ""))
+
+    def handle_endtag(self, tag):
+        if self.open and tag == self.open[1]:
+            self.end()
+
+    def handle_data(self, data):
+        if self.open:
+            self.open[2].append(data)
+
+    def end(self) -> None:
+        if self.open:
+            name, _, text, href = self.open
+            self.found.append((name, " ".join("".join(text).split()), href))
+            self.open = None
+
+
+def _marked(html: str | None, rule) -> list[tuple[str, str, str]]:
+    p = _Marked(rule)
+    p.feed(html or "")
+    p.close()
+    p.end()
+    return p.found
+
+
+def result_parts(html: str | None) -> list[dict]:
+    """Results of a search page: titles with links, each with the snippet after it. The classes that mark them."""
+    def rule(tag, a):
+        have = set(a.get("class", "").split())
+        return "title" if tag == "a" and have & {"result__a", "result-link"} else "snippet" if have & {"result__snippet", "result-snippet"} else None
+
+    out = []
+    for name, text, href in _marked(html, rule):
+        if name == "title":
+            out.append({"url": "https:" + href if href.startswith("//") else href, "title": text, "content": ""})
+        elif out:
+            out[-1]["content"] = text
+    return out
+
+
+RESULTS = ArrayType(StructType([StructField(c, _S) for c in ("url", "title", "content")]))
+
+
+@F.pandas_udf(RESULTS)
+def results(html: pd.Series) -> pd.Series:
+    return html.map(result_parts)
+
+
+class _Officers(HTMLParser):
+    """First cells of rows of class employee-row (a fixed value): the name, and the title in a span."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.lines: dict[str, None] = {}
+        self.cell, self.span, self.said = None, 0, ("", "")
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "tr":
+            self.end()
+            self.cell = 0 if "employee-row" in (dict(attrs).get("class") or "").split() else None
+        elif self.cell is not None:
+            self.cell += tag == "td"
+            self.span = int(tag == "span" and self.cell == 1)
+
+    def handle_endtag(self, tag):
+        if tag == "span":
+            self.span = 0
+        elif tag == "tr":
+            self.end()
+
+    def handle_data(self, data):
+        if self.cell == 1:
+            name, title = self.said
+            self.said = (name, title + data) if self.span else (name + data, title)
+
+    def end(self) -> None:
+        name, title = (" ".join(x.split()) for x in self.said)
+        title = title.strip("()")
+        if self.cell is not None and name:
+            self.lines[f"{name} ({title})" if title else name] = None
+        self.cell, self.span, self.said = None, 0, ("", "")
+
+
+def officer_parts(html: str | None) -> list[str]:
+    p = _Officers()
+    p.feed(html or "")
+    p.close()
+    p.end()
+    return list(p.lines)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def officers(html: pd.Series) -> pd.Series:
+    """Officers listed on an organisation's page, each once."""
+    return html.map(officer_parts)
+
+
+def is_feed_url(url: Column) -> Column:
+    """Whether the last segment of an address names a feed."""
+    path = F.rtrim(F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))), F.lit("/"))
+    return F.substring_index(path, "/", -1).isin(*FEED_NAMES)
+
+
+def conventional_feed(url: Column) -> Column:
+    """Where a site without an advertised feed tends to have one, null without a host."""
+    return F.concat(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("/feed"))

@@ -128,8 +128,8 @@ def _fold(s: str) -> tuple[str, list[int]]:
 
 
 def tokens(c: Column) -> Column:
-    """Slug parts of two letters or more."""
-    return F.filter(F.split(slug(c), "-"), lambda x: F.length(x) > 1)
+    """Words of a-z and digits, two characters or more, in order."""
+    return F.filter(F.split(normalize_ws(c), "[^0-9a-z]+"), lambda x: F.length(x) > 1)
 
 
 def carries_name(want: Column, have: Column) -> Column:
@@ -144,9 +144,9 @@ def mentions_name(want: Column, prose: Column) -> Column:
 
 
 def mentions_tokens(text: Column, parts: Column) -> Column:
-    """Whether each token stands in the text as a whole word."""
+    """Whether each token stands in the text as a whole word; no tokens are never mentioned."""
     t = normalize_ws(text)
-    return F.forall(parts, lambda p: F.regexp_like(t, F.concat(F.lit(r"(?U)\b"), F.regexp_replace(p, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"\b"))))
+    return (F.size(parts) > 0) & F.forall(parts, lambda p: F.regexp_like(t, F.concat(F.lit(r"(?U)\b"), F.regexp_replace(p, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"\b"))))
 
 
 def clip(c: Column, limit: int = MAX_TEXT) -> Column:
