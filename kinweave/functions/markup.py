@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -248,3 +249,33 @@ def is_feed_url(url: Column) -> Column:
 def conventional_feed(url: Column) -> Column:
     """Where a site without an advertised feed tends to have one, null without a host."""
     return F.concat(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(url, F.lit("AUTHORITY")), F.lit("/feed"))
+
+
+#: Byte-order marks, longest first, and the bounds under which bytes read as Western text.
+MARKS = ((b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+SNIFF, CONTROL_SHARE, HIGH_SHARE = 4096, 0.02, 0.2
+
+
+def decoded(body: bytes | None, declared: str | None = None) -> str:
+    """A body as text: the declared charset, a mark, UTF-8, the charset in its markup, Western text, else UTF-8 with
+    replacement characters. A charset counts only if it decodes the whole body."""
+    body = bytes(body or b"")
+    mark = next((c for m, c in MARKS if body.startswith(m)), None)
+    inside = re.search(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w.:-]+)|<\?xml[^>]+encoding\s*=\s*[\"']([\w.:-]+)", body[:SNIFF], re.IGNORECASE)
+    stated = (inside[1] or inside[2]).decode("ascii", "ignore") if inside else None
+    for charset in (declared, mark, "utf-8", stated):
+        try:
+            if charset:
+                return body.decode(charset)
+        except (LookupError, ValueError):
+            if charset == mark:
+                break
+    head = body[:SNIFF]
+    control = sum(b < 32 and b not in b"\t\n\r\x0b\x0c" or b == 127 for b in head)
+    western = not mark and 0 not in head and control <= CONTROL_SHARE * len(head) and sum(b > 127 for b in head) <= HIGH_SHARE * len(head)
+    return body.decode("cp1252" if western else mark or "utf-8", "replace")
+
+
+@F.pandas_udf(StringType())
+def decode_body(body: pd.Series, declared: pd.Series) -> pd.Series:
+    return pd.Series([decoded(b, d) for b, d in zip(body, declared)], dtype=object)

@@ -59,3 +59,17 @@ def parse_date(c: Column) -> Column:
     slash = F.when(t.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"), F.to_date(F.try_to_timestamp(t, F.lit("yyyy/M/d"))))
     named = F.regexp_extract(t, r"^(?:[A-Z][a-z]{2}, )?([0-9]{1,2} [A-Z][a-z]{2} [0-9]{4})", 1)
     return F.coalesce(unix, stamp, iso, slash, F.when(named != "", F.to_date(F.try_to_timestamp(named, F.lit("d MMM yyyy")))))
+
+
+def shown_number(c: Column) -> Column:
+    """Four decimals, null stays null."""
+    return F.when(c.isNotNull(), F.format_string("%.4f", c.cast("double")))
+
+
+def shown_score(c: Column) -> Column:
+    """No decimals, halves to the even number."""
+    return F.bround(c, 0).cast("long").cast("string")
+
+
+def shown_day(c: Column) -> Column:
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("undated"))

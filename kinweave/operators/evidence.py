@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import numbers as N
-from kinweave.functions.text import is_cited, sentence, slug
-from kinweave.operators.elections import unambiguous
+from kinweave.functions.text import holds_phrase, is_cited, sentence, slug
+from kinweave.operators.elections import elect, unambiguous
 
 #: Longest fact, generic hub labels, field hubs kept per person.
 MAX_FACT_CHARS, MAX_FIELD_HUBS = 200, 2
 STOP_LABELS = ("technology", "business", "startups", "software", "innovation", "leadership", "entrepreneurship", "work")
+#: The fields of work that a hub may name.
+FIELDS = ("venture capital", "private equity", "angel investing", "developer tools", "consumer social", "social media", "enterprise software", "open source",
+          "cloud infrastructure", "information security", "digital health", "life sciences", "climate tech", "financial technology", "online marketplaces", "video games",
+          "creative software", "online education", "digital media", "consumer hardware", "supply chain", "public policy")
 
 
 def collect_facts(candidates: DataFrame, docs: DataFrame) -> DataFrame:
@@ -73,3 +77,65 @@ def supported_hubs(hubs: DataFrame, facts: DataFrame) -> DataFrame:
 def hub_recency(evidence: DataFrame, today: str) -> DataFrame:
     """Largest recency over a hub's evidence documents (person_id, hub_id, published_at)."""
     return evidence.groupBy("person_id", "hub_id").agg(F.max(N.recency(F.col("published_at"), F.lit(today).cast("date"))).alias("recency"))
+
+
+def field_label(label: Column) -> Column:
+    """The longest field of work that a label names, the first of equals, or null."""
+    return F.coalesce(*(F.when(holds_phrase(label, F.lit(t)), F.lit(t)) for t in sorted(FIELDS, key=lambda t: (-len(t), t))))
+
+
+def collect_hubs(candidates: DataFrame, facts: DataFrame, docs: DataFrame, today: str) -> DataFrame:
+    """candidates(person_id, batch_no, cand_ordinal, label, type, qid, doc_id, is_field, claimed) to hubs for merge_hubs().
+
+    facts(person_id, batch_no, doc_id, fact_id, text, quote) are kept facts, docs(person_id, batch_no, doc_id, kind, url, title,
+    text, published_at) their documents. Generic labels go; a field hub takes its vocabulary term. Claimed facts are the
+    evidence, for a field hub only where their document states the label. Without any, the declared document that states
+    it, else the only one of the batch, lends its facts that mention it. No evidence, no hub. A QID stands if the
+    evidence states it and no other as often. Documents meet candidates by person and batch.
+    """
+    key = ["person_id", "batch_no", "cand_ordinal"]
+    c = candidates.withColumn("label", sentence(F.col("label"))).where(~F.lower("label").isin(*STOP_LABELS))
+    c = c.withColumn("label", F.when(F.col("is_field"), field_label(F.col("label"))).otherwise(F.col("label"))).withColumn("type", F.when(F.col("is_field"), "topic").otherwise(F.col("type")))
+    c = c.where(F.coalesce(slug(F.col("label")), F.lit("")) != "").withColumn("qid", F.upper(F.trim("qid"))).withColumn("qid", F.when(F.col("qid").rlike(r"^Q\d+$"), F.col("qid")))
+    states = holds_phrase(F.concat_ws("\n", "d.title", "d.text"), F.col("c.label"))
+    d, f = docs.alias("d"), facts.alias("f")
+    # (candidate, document) pairs of one batch, each with whether the document states the label
+    pairs = c.alias("c").join(d, ["person_id", "batch_no"]).select(*key, F.col("d.doc_id").alias("source"), states.alias("states"), (F.col("d.doc_id") == F.trim("c.doc_id")).alias("declared"))
+    said = c.select(*key, "is_field", F.posexplode("claimed").alias("at", "fact_id")).join(facts.select("person_id", "batch_no", "fact_id", F.col("doc_id").alias("source")), ["person_id", "batch_no", "fact_id"])
+    said = said.join(pairs.select(*key, "source", "states"), [*key, "source"]).where("not is_field or states").select(*key, "at", "fact_id", "source", "states")
+    lone = c.join(said.select(*key).distinct(), key, "left_anti")
+    source = pairs.where("states").groupBy(*key).agg(F.count("*").alias("n"), F.min("source").alias("only"), F.max(F.when(F.col("declared"), F.col("source"))).alias("own")).where("own is not null or n = 1")
+    lent = lone.join(source, key).withColumn("source", F.coalesce("own", "only")).alias("c").join(f, (F.col("c.person_id") == F.col("f.person_id")) & (F.col("c.batch_no") == F.col("f.batch_no")) & (F.col("c.source") == F.col("f.doc_id")))
+    lent = lent.where(holds_phrase(F.concat_ws("\n", "f.text", "f.quote"), F.col("c.label"))).select(*(F.col(f"c.{k}").alias(k) for k in key), F.lit(0).alias("at"), F.col("f.fact_id").alias("fact_id"), F.col("c.source").alias("source"), F.lit(True).alias("states"))
+    e = said.unionByName(lent)
+    source_docs = docs.select("person_id", "batch_no", F.col("doc_id").alias("source"), "kind", "url", "title", "text", "published_at")
+    e = e.join(source_docs, ["person_id", "batch_no", "source"])
+    found = F.transform(F.regexp_extract_all(F.concat_ws("\n", "url", "title", "text"), F.lit(r"(?i)\b(Q\d+)\b"), F.lit(1)), F.upper)
+    votes = e.where("kind = 'wikidata'").select(*key, "states", F.explode(F.array_distinct(found)).alias("q")).groupBy(*key, "q").agg(F.count_if("states").alias("n"))
+    top = votes.groupBy(*key).agg(F.max("n").alias("top"))
+    win = votes.join(top, key).where("n = top").groupBy(*key).agg(F.count("*").alias("k"), F.min("q").alias("winner")).where("k = 1").select(*key, "winner")
+    per = e.groupBy(*key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "fact_id"))), lambda x: x["fact_id"])).alias("evidence"),
+                              F.max(N.recency(F.col("published_at"), F.lit(today).cast("date"))).alias("recency"))
+    return c.join(per, key).join(win, key, "left").select(*key, "label", "type", F.when(F.col("qid") == F.col("winner"), F.col("qid")).alias("qid"), "recency", F.coalesce("is_field", F.lit(False)).alias("is_field"), "evidence")
+
+
+def place_hubs(hubs: DataFrame, places: DataFrame, people: DataFrame, facts: DataFrame, docs: DataFrame, today: str) -> DataFrame:
+    """hubs(person_id, hub_id, label, type, recency, evidence) with the roster's own place for proposed cities.
+
+    places(person_id, based_in) are claims, confirmed where the details state them; the most common one counts. Its leading
+    segment, else the whole, becomes a city hub if a fact's document states it, with the facts that mention it or
+    else all of those documents' facts. A person without a confirmed place keeps the proposed cities.
+    """
+    claim = places.withColumn("place", sentence(F.col("based_in"))).join(people.select("person_id", F.array_join("details", "\n").alias("lines")), "person_id")
+    place = elect(claim.where(holds_phrase(F.col("lines"), F.col("place"))), ["person_id"], "place")
+    tries = place.select("person_id", F.posexplode(F.array_distinct(F.array(sentence(F.substring_index("place", ",", 1)), "place"))).alias("i", "label")).where(F.coalesce(slug(F.col("label")), F.lit("")) != "")
+    f = facts.select("person_id", "fact_id", "doc_id", F.concat_ws("\n", "text", "quote").alias("said")).join(docs.select("person_id", "doc_id", F.concat_ws("\n", "title", "text").alias("whole"), "published_at").dropDuplicates(["person_id", "doc_id"]), ["person_id", "doc_id"])
+    e = tries.join(f, "person_id").where(holds_phrase(F.col("whole"), F.col("label"))).withColumn("spoken", holds_phrase(F.col("said"), F.col("label")))
+    at = lambda c: F.when(F.max("spoken"), F.max(F.when(F.col("spoken"), c))).otherwise(F.max(c))
+    ids = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("fact_id"))))
+    recency = N.recency(F.col("published_at"), F.lit(today).cast("date"))
+    g = e.groupBy("person_id", "i", "label").agg(at(recency).alias("recency"), F.when(F.max("spoken"), ids(F.col("spoken"))).otherwise(ids(F.lit(True))).alias("evidence"))
+    best = g.groupBy("person_id").agg(F.min_by(F.struct("label", "recency", "evidence"), "i").alias("b"))
+    mine = best.select("person_id", F.concat(F.lit("city:"), slug(F.col("b.label"))).alias("hub_id"), F.col("b.label").alias("label"), F.lit("city").alias("type"), F.col("b.recency").alias("recency"), F.col("b.evidence").alias("evidence"))
+    kept = hubs.join(place.select("person_id", F.lit(True).alias("confirmed")), "person_id", "left").where("type <> 'city' or confirmed is null").drop("confirmed")
+    return kept.select(*mine.columns).unionByName(mine)

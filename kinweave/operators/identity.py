@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.numbers import clamp01
-from kinweave.functions.text import carries_name, cites_document, mentions_name, normalize_ws
+from kinweave.functions.text import carries_name, cites_document, mentions_name, mentions_tokens, normalize_ws
 
 #: Attribute families in the order they are tried, and strong keys by priority.
 FAMILIES = {
@@ -18,6 +18,11 @@ FAMILIES = {
     "coauthor": ("coauthor", "co-author", "co author", "collaborator", "coauthorship"),
 }
 STRONG_KEYS = ("wikidata_qid", "company_domain", "github", "sec_cik")
+#: Labels that claim an attribute, all labels that end a claim, what a field says when it is unset, and filer numbers.
+CLAIMS = {"employer": ("employer", "company", "workplace"), "city": ("work location", "location", "city")}
+LABELS = ("employer", "company", "workplace", "work location", "location", "city", "name", "occupation", "instance of", "country of citizenship", "title", "relationship", "issuer")
+UNSET = ("", "-", "n/a", "na", "none", "not set", "unset", "unknown", "null")
+CIK = r"(?i)\bCIK(?:\s+of\s+[a-z ]+)?\s*[:#]?\s*(\d{6,12})\b"
 
 
 def attribute_family(label: Column) -> Column:
@@ -90,3 +95,62 @@ def accepted_documents(resolutions: DataFrame, docs: DataFrame) -> DataFrame:
     """Accepted documents in the resolver's order."""
     ids = resolutions.select("person_id", F.posexplode(F.array_distinct("accepted_doc_ids")).alias("position", "doc_id"))
     return docs.join(ids, ["person_id", "doc_id"])
+
+
+def claimed(text: Column, label: str) -> Column:
+    """What `label: value` claims, up to a full stop, the line's end or the next label; null where missing or unset."""
+    value = F.regexp_extract(text, rf"(?i)\b{label}\s*:\s*([^\n.]*)", 1)
+    value = F.trim(F.regexp_replace(value, rf"(?i)\s+\b(?:{'|'.join(LABELS)})\s*:.*$", ""))
+    return F.when(~F.trim(normalize_ws(value), F.lit(" .")).isin(*UNSET), value)
+
+
+def contradicts(who: Column, evidence: Column) -> Column:
+    """Whether evidence claims an employer or city other than the roster's; such a document backs no strong key."""
+    out = F.lit(False)
+    for attribute, labels in CLAIMS.items():
+        for label in labels:
+            value = claimed(evidence, label)
+            out = out | ((F.size(who[attribute]) > 0) & value.isNotNull() & ~mentions_tokens(value, who[attribute]))
+    return F.coalesce(out, F.lit(False))
+
+
+def verdict_attributes(who: Column, evidence: Column, disambiguator: Column) -> Column:
+    """Roster attributes the evidence mentions; without any, the family the verdict names ('other' if unknown), or none."""
+    backed = F.transform(F.filter(who["attributes"], lambda a: F.exists(a["groups"], lambda g: mentions_tokens(F.coalesce(evidence, F.lit("")), g))), lambda a: a["attribute"])
+    family = attribute_family(disambiguator)
+    named = F.when(family == "", F.array().cast("array<string>")).otherwise(F.array(F.when(family.isin(*FAMILIES), family).otherwise("other")))
+    return F.when(F.size(backed) > 0, F.array_distinct(backed)).otherwise(named)
+
+
+def primary_attribute(attributes: Column, disambiguator: Column) -> Column:
+    """The verdict's own family if it counts, else the first attribute, '' without any."""
+    family = attribute_family(disambiguator)
+    return F.when(F.array_contains(attributes, family), family).otherwise(F.coalesce(F.get(attributes, F.lit(0)), F.lit("")))
+
+
+def key_candidates(people: DataFrame, docs: DataFrame) -> DataFrame:
+    """(person_id, key, value, details) for strong_keys(), in one pass over docs(person_id, kind, url, title, text) and people
+    (person_id, who). A Wikidata item and a filer number need the name and a roster detail, a GitHub account a name and a
+    company field, a domain the employer's name."""
+    d = docs.join(people.select("person_id", "who"), "person_id")
+    who, hay = F.col("who"), F.concat_ws("\n", "title", "text")
+    employer, city = who["employer"], who["city"]
+    named = mentions_tokens(hay, who["name_parts"])
+    details = mentions_tokens(hay, employer).cast("int") + mentions_tokens(hay, city).cast("int")
+    row = lambda key, value, n: F.struct(F.lit(key).alias("key"), value.alias("value"), n.cast("int").alias("details"))
+    none = F.array().cast("array<struct<key:string,value:string,details:int>>")
+    qid = F.coalesce(*(F.nullif(F.regexp_extract(c, r"\b(Q\d{1,12})\b", 1), F.lit("")) for c in ("url", "title", "text")))
+    item = F.when((F.col("kind") == "wikidata") & named & (details > 0) & qid.isNotNull(), F.array(row("wikidata_qid", qid, details)))
+    profile, company = claimed(F.col("text"), "name"), claimed(F.col("text"), "company")
+    handle = F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), "([^/]+)/*$", 1), F.lit(""))
+    account = F.when((F.col("kind") == "github") & mentions_tokens(profile, who["name_parts"]) & mentions_tokens(company, employer) & handle.isNotNull(),
+                     F.array(row("github", handle, 1 + F.coalesce(mentions_tokens(claimed(F.col("text"), "location"), city), F.lit(False)).cast("int"))))
+    lines = F.filter(F.split(hay, "[\\n,;]"), lambda x: x.rlike(CIK) & mentions_tokens(x, who["name_parts"]))
+    own = F.array_distinct(F.transform(lines, lambda x: F.regexp_extract(x, CIK, 1)))
+    numbers = F.when(F.size(own) > 0, own).otherwise(F.filter(F.array(F.regexp_extract(hay, CIK, 1)), lambda x: x != ""))
+    filer = F.when((F.col("kind") == "edgar") & named & mentions_tokens(hay, employer), F.transform(numbers, lambda x: row("sec_cik", x, details)))
+    labels = F.split(F.regexp_replace(F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit("")), r"^www\.", ""), r"\.")
+    joined, dashed = F.array_join(employer, ""), F.array_join(employer, "-")
+    at = F.filter(F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x, i: F.when((x == joined) | (x == dashed), i + 1)), lambda i: i.isNotNull())
+    domain = F.when((F.char_length(joined) >= 4) & (F.size(at) > 0), F.array(row("company_domain", F.array_join(F.slice(labels, F.greatest(F.coalesce(F.get(at, F.lit(0)), F.lit(1)), F.lit(1)), F.size(labels)), "."), details + named.cast("int"))))
+    return d.select("person_id", F.explode(F.concat(*(F.coalesce(c, none) for c in (item, account, filer, domain)))).alias("c")).select("person_id", "c.*")

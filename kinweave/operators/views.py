@@ -32,3 +32,69 @@ def ring(stats: DataFrame, width: float = 100.0) -> DataFrame:
     r = F.row_number().over(Window.orderBy(F.desc("worth"), "hub_id")) - 1  # a figure's few hubs
     angle = 2 * F.pi() * F.col("r") / F.col("n")
     return stats.withColumn("r", r).join(F.broadcast(n)).select("hub_id", F.round(width * F.cos(angle), 4).alias("x"), F.round(width * F.sin(angle), 4).alias("y"))
+
+
+def lookup(people: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, person_id) for tokens that are an id, a name or slug to one; an exact match goes first, then the last person.
+    Unknown and blank tokens keep null. people(person_id, name, ordinal)."""
+    from kinweave.functions.text import slug
+
+    keys = F.array(F.struct(F.col("person_id").alias("k")), F.struct(F.col("name").alias("k")), F.struct(slug(F.col("name")).alias("k")))
+    index = people.select("person_id", "ordinal", F.explode(keys).alias("x")).groupBy(F.col("x.k").alias("key")).agg(F.max_by("person_id", "ordinal").alias("person_id"))
+    asked = tokens.select("token", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.trim("token").alias("key")), F.struct(F.lit(1).alias("i"), slug(F.trim("token")).alias("key")))).alias("t")).select("token", "t.*").where("key <> ''")
+    hit = asked.join(index, "key").groupBy("token").agg(F.min_by("person_id", "i").alias("person_id"))
+    return tokens.select("token").distinct().join(hit, "token", "left")
+
+
+def selected(people: DataFrame, only: str | None) -> DataFrame:
+    """All people without a selector, nobody for a blank one, else those whose id, name or slug it is."""
+    from kinweave.functions.text import slug
+
+    want = F.trim(F.lit(only))
+    return people if only is None else people.where((want != "") & ((F.col("person_id") == want) | (F.col("name") == want) | (F.col("person_id") == slug(want))))
+
+
+def fact_rows(facts: DataFrame) -> DataFrame:
+    """All facts with withholding `reason` and whether they show, shown or not: the debugging view."""
+    from kinweave.operators.exclusion import withholding_reason
+
+    reason = withholding_reason(F.col("excluded"), F.col("exclusion_reason"), F.col("confidence"), F.col("kind"))
+    return facts.withColumn("reason", reason).withColumn("shown", F.col("reason").isNull())
+
+
+def source_evidence(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """What each numbered source backs: claims(digest_id, claim_ordinal, section, detail, fact_id, doc_id, displayable) and sources
+    (digest_id, doc_id, number) to (digest_id, number, fact_id, position, sections, backs), facts in order of first mention."""
+    c = claims.where("displayable").join(sources.select("digest_id", "doc_id", "number"), ["digest_id", "doc_id"])
+    per = c.groupBy("digest_id", "number", "fact_id", "section").agg(F.min("claim_ordinal").alias("o"), F.array_sort(F.collect_list(F.when(F.col("detail") != "", F.struct("claim_ordinal", "detail")))).alias("d"))
+    names = F.array_distinct(F.transform("d", lambda x: x["detail"]))
+    label = F.when(F.size(names) > 0, F.concat("section", F.lit(": "), F.array_join(names, ", "))).otherwise(F.col("section"))
+    per = per.withColumn("label", label)
+    listed = F.array_sort(F.collect_list(F.struct("o", "section", "label")))
+    g = per.groupBy("digest_id", "number", "fact_id").agg(listed.alias("l"), F.min("o").alias("o"))
+    w = Window.partitionBy("digest_id", "number").orderBy("o", "fact_id")
+    return g.select("digest_id", "number", "fact_id", F.row_number().over(w).alias("position"), F.array_join(F.transform("l", lambda x: x["section"]), ", ").alias("sections"), F.array_join(F.transform("l", lambda x: x["label"]), "; ").alias("backs"))
+
+
+def report_cells(rows: DataFrame) -> DataFrame:
+    """Report rows as they print: a skipped person is marked, unknown values are ?, confidence has two decimals, lists join, none is -."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("-"))
+    return rows.select(F.concat(known("person_id"), F.when(F.coalesce("skipped", F.lit(False)), " (skipped)").otherwise("")).alias("person_id"), known("status").alias("status"), F.when(F.col("confidence").isNull(), "?").otherwise(F.format_string("%.2f", "confidence")).alias("confidence"),
+                       known("facts_kept").alias("facts_kept"), known("facts_excluded").alias("facts_excluded"), known("hubs").alias("hubs"), listed("zero_sources").alias("zero_sources"), listed("failed_sources").alias("failed_sources"))
+
+
+def fan(hubs: DataFrame, places: DataFrame, step: float = 26.0) -> DataFrame:
+    """(hub_id, dx, dy): hubs with the same two or more placed carriers slide along the normal of the axis through the first
+    carrier and the centre. hubs(hub_id, ordinal, person_id), places(person_id, x, y)."""
+    at = hubs.join(places, "person_id")
+    per = at.groupBy("hub_id", "ordinal").agg(F.array_sort(F.collect_list(F.struct("person_id", "x", "y"))).alias("who"), F.avg("x").alias("cx"), F.avg("y").alias("cy")).where(F.size("who") >= 2)
+    per = per.withColumn("key", F.transform("who", lambda p: p["person_id"]))
+    w = Window.partitionBy("key")
+    n, i = F.count("*").over(w), F.row_number().over(w.orderBy("ordinal", "hub_id")) - 1
+    first = F.get("who", F.lit(0))
+    ax, ay = first["x"] - F.col("cx"), first["y"] - F.col("cy")
+    per = per.withColumn("n", n).withColumn("i", i).where("n > 1").withColumn("ax", ax).withColumn("ay", ay).withColumn("len", F.hypot("ax", "ay"))
+    slide = (F.col("i") - (F.col("n") - 1) / 2.0) * step
+    flat = F.col("len") < 1e-9
+    return per.select("hub_id", F.round(F.when(flat, 0.0).otherwise(-F.col("ay") / F.col("len")) * slide, 4).alias("dx"), F.round(F.when(flat, 1.0).otherwise(F.col("ax") / F.col("len")) * slide, 4).alias("dy"))
