@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from kinweave.plans import coverage, documents, events, graph, people, readers  # noqa: F401
+    from kinweave.plans import coverage, documents, events, graph, people, readers, answers  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
