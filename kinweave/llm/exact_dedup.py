@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, texts
 
 
+#: A group with more than this share of all rows is joined by broadcast; there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-3
+
+
 def md5_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -27,7 +31,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Other columns of docs are not read, so their names cannot clash.
 
     Plan: one scan makes narrow rows (id, 16-byte key, 32-byte digest), which are checkpointed, aggregated map-side
-    per key and joined back. Text is shuffled once, by id, which has no hot key; members of groups of two or more
+    per key and joined back, groups of over HOT_SHARE of all rows by a broadcast of their fewer than a thousand
+    keys, so that none of them meets in one task. Text is shuffled once, by id, which has no hot key; members of groups of two or more
     then meet in a map-side minimum and maximum of their bytes per key, which agree exactly if all bytes do, so a
     huge group sends one text per task. Only keys where they differ are grouped again by whole text.
     """
@@ -36,7 +41,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = normalise(F.coalesce("text", F.lit("")))
     rows = cut(raw.select("doc_id", norm.alias("norm")).select("doc_id", key(F.col("norm")).alias("k"), F.unhex(F.sha2("norm", 256)).alias("sha")))
     sizes = rows.groupBy("k").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    rows = rows.join(sizes, "k")
+    hot = F.broadcast(cut(sizes.where(F.col("n") > rows.count() * HOT_SHARE)))
+    rows = rows.join(hot, "k").unionByName(rows.join(hot.select("k"), "k", "left_anti").join(sizes, "k"))
 
     # byte comparison inside groups: text is fetched for members of real groups only
     role = rows.where("n > 1 and doc_id is not null").select("doc_id", "k").distinct()
