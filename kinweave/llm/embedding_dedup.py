@@ -15,8 +15,10 @@ from .common import connected_components, cut, groups, min_labels, partitions
 
 #: Vectors the rotations are fitted on at most (the least by hash of id), and members of a block in a table's bucket.
 FIT_ROWS, BLOCK = 10_000, 1024
-#: Chance, for bits that differ with probability angle / pi, that a pair right at the threshold shares no bucket.
+#: Chance, for bits that differ with probability angle / pi after centring, that a pair right at the threshold shares no bucket.
 MISS = 0.005
+#: Tables at most; where more would be needed, substrings get shorter, down to none: one bucket, all pairs compared.
+TABLES = 128
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,8 @@ class Index:
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """One bucket number per vector and table."""
+        if not self.bits:
+            return np.zeros((len(unit), 1), dtype=np.int32)
         centred = unit - self.mean
         out = []
         for r in self.rotations:
@@ -39,19 +43,41 @@ class Index:
         return np.concatenate(out, axis=1)[:, : self.tables].astype(np.int32)
 
 
+def agreement(square: np.ndarray, threshold: float) -> np.ndarray:
+    """Chance that a bit of two unit vectors at the threshold agrees, by the squared length both have after centring.
+    Centring keeps their distance, so the shorter they get, the wider their angle; 0 where the distance is all there is."""
+    cosine = 1 - (1 - threshold) / np.maximum(np.minimum(square, 1), 1e-12)
+    return 1 - np.arccos(np.clip(cosine, -1, 1)) / math.pi
+
+
+def tables_needed(same: np.ndarray, bits: int, most: int) -> int:
+    """The least number of tables with a mean miss of at most MISS over `same`; most + 1 if `most` are too few."""
+    miss = 1 - same**bits
+    low, high = 1, most + 1
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if (miss**middle).mean() <= MISS else (middle + 1, high)
+    return low
+
+
 def fit_index(sample: np.ndarray, rows: int, threshold: float, seed: int = 7, passes: int = 30) -> Index:
     """Iterative quantisation (Gong and Lazebnik): rotate centred vectors so that signs lose least, alternating
     between signs and the rotation that fits them best (an orthogonal Procrustes problem).
 
     A table's substring has about log2(rows / 256) bits, at least 8, so buckets keep a few hundred vectors as the data
-    grows; the number of tables follows from MISS. Several rotations with different starts supply the bits.
+    grows; the number of tables follows from MISS and the lengths of the sample's vectors after centring. If it passes
+    TABLES, substrings are shortened; once tables are no fewer than buckets, all pairs are compared (0 bits, one table).
+    Several rotations with different starts supply the bits.
     """
     d = sample.shape[1]
     bits = int(min(d, 20, max(8, math.ceil(math.log2(max(rows, 1) / 256)) if rows > 256 else 8)))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    tables = max(1, math.ceil(math.log(MISS) / math.log(1 - same)))
     mean = sample.mean(axis=0) if len(sample) else np.zeros(d)
     x = sample - mean
+    same = agreement((x * x).sum(axis=1) if len(x) else np.ones(1), threshold)
+    while (tables := tables_needed(same, bits, TABLES)) > TABLES and 2**bits > TABLES:
+        bits -= 1
+    if tables >= 2**bits:
+        return Index(mean, (), 0, 1)
     rng = np.random.default_rng(seed)
     rotations = []
     while len(rotations) * (d // bits) < tables:
@@ -123,8 +149,8 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     Plan: equal vectors collapse to one weighted representative by a pre-aggregated 128-bit key. Rotations are fitted
     on FIT_ROWS vectors; all are indexed. Narrow (key, id) rows count buckets; only buckets of two or more go on. A
     bucket of g blocks becomes g(g+1)/2 tasks of at most two blocks, compared by one matrix product each; tasks return
-    counts and a spanning forest, never pairs. With 8-bit substrings a pair at the threshold shares none of the
-    tables with probability below MISS.
+    counts and a spanning forest, never pairs. A pair at the threshold shares none of the tables with probability
+    below MISS; where a shared direction leaves the tables no gain, all pairs of blocks are compared.
     """
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))

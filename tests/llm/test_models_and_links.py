@@ -66,6 +66,37 @@ def test_index_grows_with_the_data():
     assert small.codes(x).shape == (500, small.tables)
 
 
+def planted(share, pairs, d=64):
+    """Unit vectors u[i], v[i] with a cosine of 0.90 to 0.92 that have `share` of their squared length in one common direction."""
+    r = np.random.default_rng(5)
+    m = r.standard_normal(d)
+    m /= np.linalg.norm(m)
+    g, h = r.standard_normal((pairs, d)), r.standard_normal((pairs, d))
+    g -= np.outer(g @ m, m)
+    g /= np.linalg.norm(g, axis=1)[:, None]
+    h -= np.outer(h @ m, m) + (h * g).sum(axis=1)[:, None] * g
+    h /= np.linalg.norm(h, axis=1)[:, None]
+    k = ((r.uniform(0.9, 0.92, pairs) - share) / (1 - share))[:, None]
+    return np.sqrt(share) * m + np.sqrt(1 - share) * g, np.sqrt(share) * m + np.sqrt(1 - share) * (k * g + np.sqrt(1 - k * k) * h)
+
+
+@pytest.mark.parametrize("rows", [3000, 10_000_000])  # 8 and 16 bits where no direction is shared
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.7, 0.8, 0.9])
+def test_index_finds_links_about_a_large_mean(share, rows):
+    u, v = planted(share, 1500)
+    index = embedding_dedup.fit_index(np.concatenate([u, v]), rows, 0.9)
+    assert (index.codes(u) == index.codes(v)).any(axis=1).mean() >= 0.99
+    assert share or index.bits == (8 if rows == 3000 else 16)
+
+
+@pytest.mark.parametrize("share", [0.7, 0.9])
+def test_embedding_duplicates_about_a_large_mean(spark, share):
+    rows = {i: x.tolist() for i, x in enumerate(np.concatenate(planted(share, 300)))}
+    want = brute(rows)
+    got = embedding_dedup.embedding_duplicates(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")).collect()
+    assert sum(x.n_links for x in got) >= 0.99 * sum(n for n, _ in want.values()) >= 500
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     vocab = [f"w{i}" for i in range(400)]
