@@ -43,6 +43,24 @@ def test_query(spark, db, name):
     assert rows == sorted((tuple(plain(r[i]) for i in order) for r in got.fetchall()), key=repr)
 
 
+def test_components_of_all_signups(spark, db):
+    """Against a search over every signup edge in plain Python, at any value."""
+    near = {}
+    edges = db.execute("select user_id, 1000000 + cast(json_extract_string(props, '$.k') as bigint) from events where event_type = 'signup'").fetchall()
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [] if node in want else [node]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = node
+                todo += near[x]
+    assert {r.node: r.component for r in catalogue.queries()["components_all"](spark, SF).collect()} == want
+
+
 def test_entry_without_the_corpus_operators(spark):
     import __spark_entry__ as entry
 
