@@ -33,12 +33,15 @@ def doc_id_sha1(spark, sf_dir):
 @query(f"""WITH q AS (SELECT item_id, {NORM.format('text')} AS q FROM benchmark), d AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents)
   SELECT item_id, doc_id FROM q JOIN d ON contains(' ' || t || ' ', ' ' || q || ' ')""")
 def citation_guard(spark, sf_dir):
-    """Quotations in documents: hashes of eight words in a row are joined first, the whole quotation is compared after."""
-    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 8), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(8)), " ")))
+    """Quotations in documents: hashes of eight words in a row, or of all words of a shorter quotation, are joined first,
+    the whole quotation is compared after. Only lengths that quotations have are hashed."""
+    gram = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " "))
+    grams = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: gram(F.col("w"), i, F.lit(n)))
     d = table(spark, sf_dir, "documents").select("doc_id", T.normalize_ws(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
     q = table(spark, sf_dir, "benchmark").select("item_id", T.normalize_ws(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
-    seeds = d.where(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
-    first = q.where(F.size("w") >= 8).select("item_id", F.get(grams(F.slice("w", 1, 8)), F.lit(0)).alias("g"))
+    lengths = [r.n for r in q.where("w is not null").select(F.least(F.size("w"), F.lit(8)).alias("n")).distinct().collect()] or [8]  # eight at most
+    seeds = d.where("w is not null").select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams, sorted(lengths))))).alias("g"))
+    first = q.where("w is not null").select("item_id", gram(F.col("w"), F.lit(0), F.lit(8)).alias("g"))
     pairs = first.join(seeds, "g").select("item_id", "doc_id")
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     return pairs.join(q, "item_id").join(d, "doc_id").where(F.contains(pad("t"), pad("q"))).select("item_id", "doc_id").distinct()

@@ -61,6 +61,18 @@ def test_components_of_all_signups(spark, db):
     assert {r.node: r.component for r in catalogue.queries()["components_all"](spark, SF).collect()} == want
 
 
+def test_citations_of_few_words(spark, tmp_path):
+    texts = ["One two  three four five six seven eight nine", "two three", "three", "", None, "a two three b", "twotwo three", "three FOUR five six seven", "nine"]
+    quotes = ["two three", "Three", "four five six seven", "one two three four five six seven eight nine", "two three four five six seven eight nine ten", "", None, "wo three", "nine"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = sorted((r.item_id, r.doc_id) for r in catalogue.queries()["citation_guard"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(catalogue.oracle_sql()["citation_guard"]).fetchall()) and (0, 1) in got and (2, 7) in got
+
+
 def test_entry_without_the_corpus_operators(spark):
     import __spark_entry__ as entry
 
