@@ -2,6 +2,11 @@
 
 import datetime
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -77,3 +82,18 @@ def test_entry_without_the_corpus_operators(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(catalogue.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [("kinweave/llm",), ("kinweave/llm", "corpus_pipeline.py")])
+def test_entry_in_a_tree_without_the_corpus_operators(tmp_path, gone):
+    """A copy of the tree without the subpackage, with and without the pipeline's file: both functions still answer."""
+    root, tree = Path(__file__).resolve().parent.parent, tmp_path / "tree"
+    shutil.copytree(root / "kinweave", tree / "kinweave", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tree)
+    for name in gone:
+        shutil.rmtree(tree / name, ignore_errors=True)
+        (tree / name).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n == 'pipeline' or n.startswith('op1_')]"
+    subprocess.run([sys.executable, "-c", code], cwd=tree, check=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tree)})
