@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import numbers as N
 from kinweave.functions.text import acronym_of, reads_as_acronym, slug, spoken_label
+from kinweave.operators.components import connected_components as components  # noqa: F401 - part of the graph's operators
 from kinweave.operators.elections import elect, unambiguous
 
 #: Clauses per hub type, what is said without a shared hub, and a withheld hub's label.
@@ -120,28 +121,6 @@ def nameable_hubs(edges: DataFrame, facts: DataFrame) -> DataFrame:
     return per.groupBy("hub_id").agg(F.bool_or((F.col("n") == 0) | F.col("shown")).alias("nameable"))
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): smallest node reachable, by alternating large-star and small-star rounds over checkpoints."""
-    import tempfile
-
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-"))
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
-    sign = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    before = None
-    while (now := sign(e)) != before:
-        before = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
-        e = small.where("u <> v").distinct().checkpoint()
-    own = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
-    return own.join(e.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
-
-
 def presence_hubs(edges: DataFrame, stats: DataFrame, present: DataFrame) -> DataFrame:
     """Hubs of those present: carriers in the room, shared from two on; weight stays that of the whole corpus."""
     here = edges.join(present.select("person_id").distinct(), "person_id", "left_semi").groupBy("hub_id").agg(F.count_distinct("person_id").alias("here"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import affinity as A
 from kinweave.operators import elections, views
+from kinweave.operators.components import connected_components
 from kinweave.plans.catalogue import query
 from kinweave.plans.fixtures import EDGES, hub_edges, people, table
 
@@ -114,23 +115,14 @@ def one_hub_per_person(spark, sf_dir):
     return A.one_hub_per_person(e).select("person_id", "hub_id", "recency", F.size("evidence").cast("long").alias("n_evidence"))
 
 
-@query("""WITH RECURSIVE g AS (SELECT DISTINCT user_id AS a, 1000000 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS b FROM events WHERE event_type = 'signup' AND value > 60),
-  s AS (SELECT a AS x, b AS y FROM g UNION SELECT b, a FROM g), r AS (SELECT x, x AS y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x)
-  SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
-def components(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'signup' and value > 60").select(
-        F.col("user_id").alias("a"), (1_000_000 + F.get_json_object("props", "$.k").cast("long")).alias("b"))
-    return A.components(e, "a", "b")
-
-
 @query("""WITH RECURSIVE g AS (SELECT DISTINCT user_id AS a, 1000000 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS b FROM events WHERE event_type = 'signup'),
   s AS (SELECT a AS x, b AS y FROM g UNION SELECT b, a FROM g), r AS (SELECT x, x AS y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x)
   SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
-def components_all(spark, sf_dir):
+def components(spark, sf_dir):
     """Components over every signup edge, whatever its value."""
     e = table(spark, sf_dir, "events").where("event_type = 'signup'").select(
         F.col("user_id").alias("a"), (1_000_000 + F.get_json_object("props", "$.k").cast("long")).alias("b"))
-    return A.components(e, "a", "b")
+    return connected_components(e, "a", "b")
 
 
 @query(f"WITH {EDGES}, d AS (SELECT person_id, count(DISTINCT hub_id) AS degree FROM edges GROUP BY 1) SELECT degree, count(*) AS people FROM d GROUP BY 1")

@@ -63,7 +63,7 @@ def test_components_of_all_signups(spark, db):
             if x not in want:
                 want[x] = node
                 todo += near[x]
-    assert {r.node: r.component for r in catalogue.queries()["components_all"](spark, SF).collect()} == want
+    assert {r.node: r.component for r in catalogue.queries()["components"](spark, SF).collect()} == want
 
 
 def test_citations_of_few_words(spark, tmp_path):
