@@ -12,64 +12,89 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-#: Regions without prose, tags that end a line, tags without an end.
-SKIPPED = frozenset("script style noscript template svg nav footer head iframe form".split())
-BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article header ul ol table blockquote pre main".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements and roles without prose, notices by class or id, tags that end a line, tags without an end.
+SKIPPED = frozenset(("script", "style", "noscript", "template", "svg", "canvas", "nav", "footer"))
+SKIPPED_ROLES = frozenset(("navigation", "banner", "contentinfo"))
+NOTICES = re.compile(r"cookie|consent|gdpr", re.IGNORECASE)
+BLOCKS = frozenset((
+    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
+    "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/rdf+xml", "application/feed+json", "text/xml")
 #: Last path segments that name a feed.
 FEED_NAMES = ("feed", "feeds", "feed.xml", "feed.atom", "feed.json", "rss", "rss.xml", "atom", "atom.xml", "index.xml", "index.rss")
 
 
 class _Page(HTMLParser):
-    """Text, title, links and advertised feeds of a page in one pass."""
+    """Text, title, links and advertised feeds of a page in one pass. Open elements are kept with whether they are quiet: inside
+    a region without prose. An end tag closes everything left open inside its element, and is ignored without one."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.head: list[str] = []
+        self.title: list[str] | None = None
         self.links: list[str] = []
         self.feeds: list[str] = []
-        self.stack: list[str] = []
+        self.open: list[tuple[str, bool]] = []
         self.in_title = False
 
+    def quiet(self) -> bool:
+        return bool(self.open) and self.open[-1][1]
+
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+        self.noted(tag, dict(attrs))
+        if tag == "title" and self.title is None and not self.quiet():
+            self.in_title, self.title = True, []
+        if tag not in VOID:
+            self.open.append((tag, self.quiet() or self.skips(tag, attrs)))
+        self.line(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.noted(tag, dict(attrs))
+        self.line(tag)
+
+    def handle_endtag(self, tag):
+        if tag == "title":
+            self.in_title = False
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
+        self.line(tag)
+
+    def handle_data(self, data):
+        if not self.quiet():
+            (self.title if self.in_title else self.out).append(data)
+
+    def line(self, tag) -> None:
+        if tag in BLOCKS and not self.quiet():
+            self.out.append("\n")
+
+    def noted(self, tag, a) -> None:
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
         if tag == "link" and a.get("href") and {"alternate", "feed"} & set((a.get("rel") or "").lower().split()):
             kind = (a.get("type") or "").partition(";")[0].strip().lower()
             if kind in FEED_TYPES or urlsplit(a["href"]).path.lower().rstrip("/").rpartition("/")[2] in FEED_NAMES:
                 self.feeds.append(a["href"].strip())
-        if tag == "title":
-            self.in_title = True
-        if tag in SKIPPED or "cookie" in f"{a.get('class') or ''} {a.get('id') or ''}".lower():
-            if tag not in VOID:
-                self.stack.append(tag)
-        elif tag in BLOCKS:
-            self.out.append("\n")
 
-    def handle_endtag(self, tag):
-        if tag == "title":
-            self.in_title = False
-        if self.stack and tag == self.stack[-1]:
-            self.stack.pop()
-        if tag in BLOCKS:
-            self.out.append("\n")
+    @staticmethod
+    def skips(tag, attrs) -> bool:
+        a = [(k, v) for k, v in attrs if v]
+        return tag in SKIPPED or any(k == "role" and v.strip().lower() in SKIPPED_ROLES or k in ("class", "id") and NOTICES.search(v) for k, v in a)
 
-    def handle_data(self, data):
-        if self.in_title:
-            self.head.append(data)
-        elif not self.stack:
-            self.out.append(data)
+
+def tidy(text: str) -> str:
+    """Lines with single spaces, trimmed, and at most one empty line between them."""
+    lines = (re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in text.split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 def page_parts(html: str | None) -> dict:
     p = _Page()
     p.feed(html or "")
     p.close()
-    lines = (" ".join(x.split()) for x in "".join(p.out).split("\n"))
-    return {"text": "\n".join(x for x in lines if x), "title": " ".join("".join(p.head).split()) or None, "links": p.links, "feeds": p.feeds}
+    return {"text": tidy("".join(p.out)), "title": tidy("".join(p.title or [])) or None, "links": p.links, "feeds": p.feeds}
 
 
 _S, _L = StringType(), ArrayType(StringType())

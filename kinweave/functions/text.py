@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 #: Apostrophes that a slug drops rather than turns into hyphens.
 APOSTROPHES = "'’ʼ`´"
 #: Typographic characters and their plain forms in quotation matching.
-PLAIN = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-"}
+PLAIN = {
+    "‘": "'", "’": "'", "‚": "'", "‛": "'", "ʼ": "'", "ʹ": "'", "′": "'", "´": "'", "`": "'",
+    "“": '"', "”": '"', "„": '"', "‟": '"', "″": '"', "«": '"', "»": '"',
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-",
+}
 #: Words an acronym skips, and its least number of letters.
 GLUE, MIN_ACRONYM = ("of", "the", "and", "for", "at", "in", "on", "de"), 3
 #: Least size of a quotation that counts as evidence.
@@ -24,30 +28,40 @@ MAX_TEXT, CLIP_SLACK = 20_000, 200
 @lru_cache(maxsize=1)
 def _decompositions() -> tuple[str, str, dict[str, str]]:
     """From the Unicode rule: characters whose compatibility form without marks is one character, as two strings for
-    translate(), and those of up to U+FFFF with a longer ASCII form."""
-    one_from, one_to, more = [], [], {}
-    for cp in range(0xA0, min(0x10000, sys.maxunicode)):
+    translate(), and those with a longer form that holds an ASCII letter or digit."""
+    one, more = {}, {}
+    for cp in range(0xA0, 0x20000):
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xF8FF:  # Hangul syllables, surrogates and private use stay
             continue
         c = chr(cp)
         d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if len(d) == 1 and d != c:
-            one_from.append(c)
-            one_to.append(d)
-        elif len(d) > 1 and d.isascii() and any(x.isalnum() for x in d):
+            one[c] = d
+        elif len(d) > 1 and any(x.isascii() and x.isalnum() for x in d):
             more[c] = d
-    return "".join(one_from), "".join(one_to), more
+    return "".join(one), "".join(one.values()), more
+
+
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """From the Unicode rule: characters whose case folding is not their lower case, split as above."""
+    odd = {chr(cp): chr(cp).casefold() for cp in range(0x80, 0x20000) if not 0xD800 <= cp <= 0xDFFF and chr(cp).casefold() != chr(cp).lower()}
+    one = {c: d for c, d in odd.items() if len(d) == 1}
+    return "".join(one), "".join(one.values()), {c: d for c, d in odd.items() if len(d) > 1}
+
+
+def _rewritten(c: Column, table: tuple[str, str, dict[str, str]]) -> Column:
+    """Characters of one counterpart go through one translate(); those of several, which are rare, only where a text has any."""
+    one, to, more = table
+    base = F.translate(c, one, to)
+    by = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
+    wide = F.array_join(F.transform(F.split(base, ""), lambda x: F.coalesce(F.try_element_at(by, x), x)), "")
+    return F.when(base.rlike("[" + "".join(more) + "]"), wide).otherwise(base)
 
 
 def unaccent(c: Column) -> Column:
-    """Compatibility decomposition without combining marks. Letters with one base letter go through one translate();
-    ligatures and fractions, which are rare, only where a text has any character of that kind."""
-    a, b, more = _decompositions()
-    base = F.translate(F.regexp_replace(c, r"[̀-ͯ]", ""), a, b)
-    wide = base
-    for x in ("ﬁ", "ﬂ", "ﬀ", "ﬃ", "ﬄ", "½", "¼", "¾", "…", "™", "№", "ǆ", "ĳ", "℡"):
-        wide = F.replace(wide, F.lit(x), F.lit(more.get(x, unicodedata.normalize("NFKD", x))))
-    return F.when(base.rlike("[ﬁﬂﬀﬃﬄ½¼¾…™№ǆĳ℡]"), wide).otherwise(base)
+    """Compatibility decomposition without combining marks."""
+    return _rewritten(F.regexp_replace(c, r"\p{M}", ""), _decompositions())
 
 
 def slug(c: Column) -> Column:
@@ -57,8 +71,9 @@ def slug(c: Column) -> Column:
 
 
 def normalize_ws(c: Column) -> Column:
-    """White-space runs to one space, trimmed, case folded (sharp s as ss)."""
-    return F.replace(F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")), F.lit("ß"), F.lit("ss"))
+    """White-space runs to one space, trimmed, case folded."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(plain)).otherwise(F.lower(_rewritten(plain, _foldings())))
 
 
 def sentence(c: Column) -> Column:
@@ -222,12 +237,36 @@ def looks_binary(text: Column) -> Column:
 
 
 def deinvert(index_json: Column) -> Column:
-    """Text of an inverted index {word: [positions]}; of words at one position the last stays."""
+    """Text of an inverted index {word: [positions]}; of words at one position the last stays. One sort of all positions."""
     entries = F.map_entries(F.from_json(index_json, "map<string,array<int>>"))
-    pairs = F.flatten(F.transform(entries, lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    at = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["p"])), lambda p: F.struct(
-        p, F.element_at(F.filter(pairs, lambda x: x["p"] == p), -1)["w"])))
-    return F.array_join(F.transform(F.array_sort(F.map_keys(at)), lambda p: F.element_at(at, p)), " ")
+    words = F.flatten(F.transform(entries, lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
+    last = lambda s: F.transform(F.filter(F.transform(s, lambda x, i: F.struct(x["w"].alias("w"), F.coalesce(F.get(s, i + 1)["p"] != x["p"], F.lit(True)).alias("k"))), lambda x: x["k"]), lambda x: x["w"])
+    return F.array_join(F.get(F.transform(F.array(F.array_sort(words)), last), F.lit(0)), " ")
+
+
+def looks_like(body: Column) -> Column:
+    """json, html, xml or text, by how a body begins; null for a blank one."""
+    b = F.lower(F.substring(F.ltrim(body), 1, 512))
+    return F.when(b == "", None).when(b.rlike(r"^[\[{]"), "json").when(b.rlike(r"^<(?:!doctype html|html|head|body)\b"), "html").when(
+        b.rlike(r"^<\?xml|^<(?:rss|feed|rdf:rdf)\b"), "xml").when(b.rlike(r"<(?:html|head|body|div|p)\b"), "html").otherwise("text")
+
+
+#: Endings of media types that are text whatever their tree, and trees and types that are none.
+TEXT_SUFFIXES = ("+json", "+xml", "+yaml", "+text")
+BINARY_TREES = ("image/", "audio/", "video/", "font/")
+BINARY_TYPES = ("application/pdf", "application/zip", "application/gzip", "application/octet-stream", "application/msword", "application/postscript")
+
+
+def is_binary_type(content_type: Column) -> Column:
+    """Whether a media type names no text; a missing one does not."""
+    media = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    suffix = F.lit(False)
+    for s in TEXT_SUFFIXES:
+        suffix = suffix | media.endswith(s)
+    tree = F.lit(False)
+    for t in BINARY_TREES:
+        tree = tree | media.startswith(t)
+    return ~suffix & (media.isin(*BINARY_TYPES) | tree | media.startswith("application/vnd."))
 
 
 def spoken_label(label: Column, kind: Column) -> Column:
@@ -250,6 +289,58 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
 
 
-def is_speakable(c: Column, most: int = 30) -> Column:
-    """Whether a sentence can be read aloud: no link, reference mark or parenthesis, at most `most` words, no score."""
-    return F.coalesce(~c.rlike(r"(?i)https?://|www\.|\[[0-9]+\]|[()]|\b(?:score|scored|rated)\b[^.]*\b[0-9]+(?:\.[0-9]+)?") & (word_count(c) <= most), F.lit(False))
+#: Words that open a slot for a noun, irregular verb forms, words before a score, punctuation that a word may carry.
+SLOT_WORDS = (
+    "a", "about", "after", "against", "an", "at", "before", "by", "during", "for", "from", "in", "into", "of", "on", "onto", "over",
+    "the", "through", "to", "toward", "towards", "under", "with", "within", "without",
+)
+VERB_FORMS = (
+    "am", "are", "became", "began", "bought", "broke", "brought", "built", "chose", "drew", "drove", "fell", "felt", "found", "gave", "got", "grew", "had",
+    "has", "have", "held", "is", "kept", "knew", "left", "led", "lost", "made", "met", "paid", "put", "ran", "read", "said", "sat", "saw", "sent", "set",
+    "sold", "spent", "spoke", "stood", "taught", "thought", "told", "took", "was", "went", "were", "won", "wore", "wrote",
+)
+SCORE_WORDS = (
+    "score", "scored", "scores", "scoring", "rank", "ranked", "ranks", "ranking", "rated", "rating", "points", "weight", "weighted",
+)
+EDGE = ".,;:!?'\""
+SPOKEN = 30
+_LINK, _MARK, _BRACKETED = r"(?i)http", r"\[\s*[0-9]+\s*\]", r"\([^)]*\)"
+#: A capitalised word after a slot word, with another word after it and no punctuation between, that reads as a verb: a
+#: sentence set where a noun belongs. All capitals are an acronym.
+_SPLICE = (rf"(?U)(?<!\S)(?i:{'|'.join(SLOT_WORDS)})\s+['\"]*(?=\p{{Lu}})(?![^\s\p{{Ll}}]+\s)"
+           rf"(?:(?i:{'|'.join(VERB_FORMS)})|(?i:[^\s.,;:!?'\"-][^\s-]*[^\s-](?:s|ed|ing))|(?i:[^\s]+-[^\s]*(?:ed|ing)))(?=\s+\S)")
+_BARE_EDGE = f"^[{EDGE}]+|[{EDGE}]+$"
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+
+
+def _is_score(words: Column, w: Column, i: Column) -> Column:
+    """Whether word i is a score: a share of a hundred, or a whole number up to 100 after a word of scoring."""
+    bare = F.regexp_replace(w, _BARE_EDGE, "")
+    before = F.lower(F.regexp_replace(F.get(words, i - 1), _BARE_EDGE, ""))
+    small = bare.rlike("^[0-9]{1,3}$") & (bare.try_cast("int") <= 100)
+    return bare.rlike(r"^[0-9]{1,3}(?:/100|%)$") | F.coalesce(small & (i > 0) & before.isin(*SCORE_WORDS), F.lit(False))
+
+
+def is_speakable(c: Column, most: int = SPOKEN, nouns: Column | None = None) -> Column:
+    """Whether a line can be read aloud as it is: not blank, no link, no reference mark, no parenthesis, at most `most` words, no
+    score, and no sentence set where a noun belongs. `nouns` (an array) are phrases known to be names, which may look like verbs."""
+    plain = c
+    if nouns is not None:
+        plain = F.aggregate(F.coalesce(nouns, F.array().cast("array<string>")), c, lambda t, n: F.when(F.trim(n) == "", t).otherwise(
+            F.regexp_replace(t, F.concat(F.lit(r"(?iU)(?<!\S)"), F.regexp_replace(F.trim(n), r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"(?!\w)")), F.lit("x"))))
+    words = _words(c)
+    scored = F.exists(F.transform(words, lambda w, i: _is_score(words, w, i)), lambda x: x)
+    return F.coalesce((F.trim(c) != "") & ~c.rlike(_LINK) & ~c.rlike(_MARK) & ~c.rlike("[()]") & (word_count(c) <= most) & ~plain.rlike(_SPLICE) & ~scored, F.lit(False))
+
+
+def speakable(c: Column, most: int = SPOKEN) -> Column:
+    """A line without what cannot be read aloud: reference marks, parentheses, links and scores go, at most `most` words
+    stay, with a full stop if some were cut. A sentence set where a noun belongs cannot be mended."""
+    clean = F.translate(F.regexp_replace(F.regexp_replace(c, _MARK, " "), _BRACKETED, " "), "()", "  ")
+    words = F.filter(_words(clean), lambda w: ~w.rlike(_LINK))
+    kept = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), _is_score(words, w, i).alias("s"))), lambda x: ~x["s"]), lambda x: x["w"])
+    line = F.regexp_replace(F.trim(F.array_join(F.slice(kept, 1, most), " ")), r"\s+([.,;:!?])", "$1")
+    return F.when((F.size(kept) > most) & (line != "") & ~line.rlike("[.!?]$"), F.concat(line, F.lit("."))).otherwise(line)

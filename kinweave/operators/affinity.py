@@ -61,32 +61,75 @@ def acronym_folds(labels: DataFrame) -> DataFrame:
     return labels.where(reads_as_acronym(F.col("label"))).select(F.trim("label").alias("a"), "type").distinct().join(only, ["a", "type"]).select(F.col("a").alias("short"), "type", "long")
 
 
-def contributions(edges: DataFrame, stats: DataFrame, keep_zero: bool = False) -> DataFrame:
-    """(person_id, other_id, hub_id, type, label, contribution) for every pair that shares a hub.
+#: Carriers of a hub that one task pairs with as many others.
+PAIR_BLOCK = 4096
+
+
+def shared_hubs(edges: DataFrame, stats: DataFrame, keep_zero: bool = False) -> DataFrame:
+    """(person_id, other_id, hub_id, type, label, contribution) for every pair that shares a hub, once, person_id < other_id.
 
     Hubs of idf 0 add nothing and are carried by most people, so unless their rows are wanted they leave before the
-    self-join, where they would make almost all pairs."""
-    e = edges.join(stats.where(F.lit(keep_zero) | (F.col("idf") > 0)).select("hub_id", "idf", "boost", F.col("type").alias("t"), F.col("label").alias("l")), "hub_id")
-    a = e.select("hub_id", "person_id", "recency", "idf", "boost", F.col("t").alias("type"), F.col("l").alias("label"))
-    b = edges.select("hub_id", F.col("person_id").alias("other_id"), F.col("recency").alias("other_recency"))
-    worth = F.col("idf") * F.least("recency", "other_recency") * F.col("boost")
-    return a.join(b, "hub_id").where("person_id <> other_id").select("person_id", "other_id", "hub_id", "type", "label", worth.alias("contribution"))
+    self-join, where they would make almost all pairs. A hub of many carriers is paired block by block: a
+    carrier stands on the left of its own and later blocks and on the right of its own and earlier ones."""
+    s = stats.where(F.lit(keep_zero) | (F.col("idf") > 0)).select(
+        "hub_id", "idf", "boost", F.col("type").alias("t"), F.col("label").alias("l"), F.ceil(F.col("carriers") / PAIR_BLOCK).cast("int").alias("g"))
+    e = edges.join(s, "hub_id").withColumn("side", F.pmod(F.xxhash64("person_id"), "g").cast("int"))
+    a = e.select("hub_id", F.col("person_id").alias("a_id"), F.col("recency").alias("ar"), "idf", "boost", "t", "l", F.col("side").alias("lo"), F.explode(F.sequence("side", F.col("g") - 1)).alias("hi"))
+    b = e.select("hub_id", F.col("person_id").alias("b_id"), F.col("recency").alias("br"), F.col("side").alias("hi"), F.explode(F.sequence(F.lit(0), "side")).alias("lo"))
+    pairs = a.join(b, ["hub_id", "lo", "hi"]).where("a_id <> b_id and (lo < hi or a_id < b_id)")
+    return pairs.select(F.least("a_id", "b_id").alias("person_id"), F.greatest("a_id", "b_id").alias("other_id"), "hub_id", F.col("t").alias("type"), F.col("l").alias("label"),
+                        _worth("ar", "br").alias("contribution"))
+
+
+def _worth(one: str, other: str) -> Column:
+    return F.col("idf") * F.least(one, other) * F.col("boost")
+
+
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """Rows of pairs in both directions; a path is turned round."""
+    turned = {"person_id": F.col("other_id"), "other_id": F.col("person_id"), "path": F.reverse("path") if "path" in pairs.columns else None}
+    rows = F.array(F.struct(*pairs.columns), F.struct(*(turned.get(c, F.col(c)).alias(c) for c in pairs.columns)))
+    return pairs.select(F.inline(rows))
+
+
+def contributions(edges: DataFrame, stats: DataFrame, keep_zero: bool = False) -> DataFrame:
+    """shared_hubs() in both directions."""
+    return mirrored(shared_hubs(edges, stats, keep_zero))
+
+
+def _raw() -> Column:
+    """A pair's worth. Its last bits depend on the order of addition, so it is told apart to 12 places."""
+    return F.round(F.sum("contribution"), 12).alias("raw")
 
 
 def match_scores(edges: DataFrame, stats: DataFrame, people: int) -> DataFrame:
-    """(person_id, other_id, raw, score, rank): shared worth and its place among a person's partners; rank by raw, then id."""
-    raw = contributions(edges, stats).groupBy("person_id", "other_id").agg(F.round(F.sum("contribution"), 6).alias("raw"))
+    """(person_id, other_id, raw, score, rank): shared worth, shown to 6 places, and its place among a person's partners; scores
+    and ranks are by the worth as it is, then id."""
+    raw = mirrored(shared_hubs(edges, stats).groupBy("person_id", "other_id").agg(_raw()))
     w = Window.partitionBy("person_id").orderBy(F.desc("raw"), "other_id")
-    return raw.withColumn("score", N.score(F.col("raw"), N.reference_score(F.lit(float(people))))).withColumn("rank", F.row_number().over(w))
+    return raw.withColumn("score", N.score(F.col("raw"), N.reference_score(F.lit(float(people))))).withColumn("rank", F.row_number().over(w)).withColumn("raw", F.round("raw", 6))
+
+
+#: Arriving people that meet everyone present in one block.
+ARRIVING_BLOCK = 1000
 
 
 def match_present(arriving: DataFrame, present: DataFrame, edges: DataFrame, stats: DataFrame, people: int) -> DataFrame:
-    """Everyone present ranked for each arriving person, partners without a shared hub included with 0."""
-    pairs = arriving.select("person_id").distinct().crossJoin(present.select(F.col("person_id").alias("other_id")).distinct()).where("person_id <> other_id")
-    raw = contributions(edges.join(present.select("person_id").distinct().union(arriving.select("person_id")).distinct(), "person_id", "left_semi"), stats).groupBy("person_id", "other_id").agg(F.sum("contribution").alias("raw"))
-    out = pairs.join(raw, ["person_id", "other_id"], "left").withColumn("raw", F.coalesce(F.round("raw", 6), F.lit(0.0)))
+    """Everyone present ranked for each arriving person, partners without a shared hub included with 0.
+
+    The arriving are a query set that meets all present people in blocks, since the answer names all of them; sharers
+    are scored by an equi-join of the two sides' hubs, never through pairs among the present."""
+    a, p = arriving.select("person_id").distinct(), present.select(F.col("person_id").alias("other_id")).distinct()
+    blocks = max(1, -(-a.count() // ARRIVING_BLOCK))
+    asked = a.withColumn("block", F.pmod(F.xxhash64("person_id"), F.lit(blocks)))
+    pairs = asked.join(p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "block").where("person_id <> other_id").drop("block")
+    s = stats.where("idf > 0").select("hub_id", "idf", "boost")
+    mine = edges.join(a, "person_id").join(s, "hub_id").select("hub_id", "person_id", F.col("recency").alias("ar"), "idf", "boost")
+    theirs = edges.join(p.withColumnRenamed("other_id", "person_id"), "person_id").select("hub_id", F.col("person_id").alias("other_id"), F.col("recency").alias("br"))
+    raw = mine.join(theirs, "hub_id").where("person_id <> other_id").withColumn("contribution", _worth("ar", "br")).groupBy("person_id", "other_id").agg(_raw())
+    out = pairs.join(raw, ["person_id", "other_id"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
     w = Window.partitionBy("person_id").orderBy(F.desc("raw"), "other_id")
-    return out.withColumn("score", N.score(F.col("raw"), N.reference_score(F.lit(float(people))))).withColumn("rank", F.row_number().over(w))
+    return out.withColumn("score", N.score(F.col("raw"), N.reference_score(F.lit(float(people))))).withColumn("rank", F.row_number().over(w)).withColumn("raw", F.round("raw", 6))
 
 
 def ranked_contributions(rows: DataFrame) -> DataFrame:
@@ -101,16 +144,16 @@ def clause(kind: Column, label: Column) -> Column:
 
 
 def why_and_path(rows: DataFrame) -> DataFrame:
-    """(person_id, other_id, why, path): a sentence on the two worthiest nameable hubs and the route over the first."""
-    named = ranked_contributions(rows.where((F.col("contribution") > 0) & (F.col("label") != WITHHELD))).where(F.col("place") <= WHY_HUBS)
-    top = F.array_sort(F.collect_list(F.struct("place", clause(F.col("type"), F.col("label")).alias("c"), "hub_id")))
-    line = F.array_join(F.transform("top", lambda x: x["c"]), "; ")
-    said = named.groupBy("person_id", "other_id").agg(top.alias("top")).select(
-        "person_id", "other_id", F.concat(F.upper(F.substring(line, 1, 1)), F.substring(line, F.lit(2), F.char_length(line)), F.lit(".")).alias("why"),
-        F.array(F.concat(F.lit("person:"), F.col("person_id").cast("string")), F.concat(F.lit("hub:"), F.get("top", F.lit(0))["hub_id"].cast("string")),
-                F.concat(F.lit("person:"), F.col("other_id").cast("string"))).alias("path"))
-    return rows.select("person_id", "other_id").distinct().join(said, ["person_id", "other_id"], "left").select(
-        "person_id", "other_id", F.coalesce("why", F.lit(NOTHING)).alias("why"), F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+    """(person_id, other_id, why, path) of contributions: a sentence on the two worthiest nameable hubs and the route over the
+    first. One aggregate per pair, whose list is as long as what the two share."""
+    named = (F.col("contribution") > 0) & (F.col("label") != WITHHELD)
+    top = F.slice(F.array_sort(F.collect_list(F.when(named, F.struct((-F.col("contribution")).alias("c"), "hub_id", "type", "label")))), 1, WHY_HUBS)
+    said = rows.groupBy("person_id", "other_id").agg(top.alias("top"))
+    line = F.array_join(F.transform("top", lambda x: clause(x["type"], x["label"])), "; ")
+    some, node = F.size("top") > 0, lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    why = F.concat(F.upper(F.substring(line, 1, 1)), F.substring(line, F.lit(2), F.char_length(line)), F.lit("."))
+    path = F.array(node("person:", F.col("person_id")), node("hub:", F.get("top", F.lit(0))["hub_id"]), node("person:", F.col("other_id")))
+    return said.select("person_id", "other_id", F.when(some, why).otherwise(NOTHING).alias("why"), F.when(some, path).otherwise(F.array().cast("array<string>")).alias("path"))
 
 
 def nameable_hubs(edges: DataFrame, facts: DataFrame) -> DataFrame:

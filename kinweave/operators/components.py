@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than this share of all rows is joined by broadcast; there are fewer than 1 / HOT_SHARE of them.
@@ -44,18 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def join_split(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, limit: float, spread: Column, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left) with keyed, which has one row per key `on` (longs, never null) and says in `count` how many
-    rows have it. Keys of over `limit` rows meet by a broadcast; their rows take a key of their own from `spread` (a
-    long) in the shuffled join, where they match nothing. So no task gets more than `limit` rows of a key, and rows
-    is computed once. `limit` must be a share of all rows, so that the broadcast is bounded by its inverse."""
+    """rows joined (inner or left) with keyed, which has one row per key `on` (the first a long) and says in `count` how many
+    rows have it. Keys of over `limit` rows meet by a broadcast; their rows, and rows with a null in their key, take a key of
+    their own from `spread` (a long) in the shuffled join, where they match nothing. So no task gets more than `limit`
+    rows of a key, and rows is computed once. `limit` must be a share of all rows, so that the broadcast is bounded by its inverse."""
     values = [c for c in keyed.columns if c not in (*on, count)]
+    kinds = dict(keyed.dtypes)
     pack = lambda name: F.struct(F.lit(True).alias("__hit"), *values).alias(name)
     hot = F.broadcast(keyed.where(F.col(count) > limit).select(*on, pack("__hot")))
     cold = keyed.where(F.col(count) <= limit).select(*(F.col(k).alias(f"__{k}") for k in on), F.lit(False).alias("__side"), pack("__cold"))
-    r = rows.join(hot, on, "left").withColumn("__found", F.col("__hot").isNotNull())
+    blank = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in on))
+    r = rows.join(hot, on, "left").withColumn("__found", F.col("__hot").isNotNull() | blank)
     same = F.col("__found") == F.col("__side")
     for i, k in enumerate(on):
-        r = r.withColumn(f"__r_{k}", F.when(F.col("__found"), spread if i == 0 else F.lit(0)).otherwise(F.col(k)))
+        r = r.withColumn(f"__r_{k}", F.when(F.col("__found"), (spread if i == 0 else F.lit(0)).cast(kinds[k])).otherwise(F.col(k)))
         same = same & (F.col(f"__r_{k}") == F.col(f"__{k}"))
     out = r.join(cold, same, "left").withColumn("__x", F.coalesce("__hot", "__cold"))
     if how == "inner":
@@ -63,6 +66,16 @@ def join_split(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, lim
     return out.select(*rows.columns, *(F.col(f"__x.{v}").alias(v) for v in values))
 
 
+def numbered(df: DataFrame, order: list[Column], out: str = "n") -> DataFrame:
+    """df with a row's place, from 0, in a total order: a range-partitioned sort, then counts of its partitions, of which there
+    are as many as tasks. No window over the whole table."""
+    place = F.monotonically_increasing_id()
+    rows = cut(df.orderBy(*order).withColumns({"__part": F.shiftright(place, 33), "__at": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__before"))
+    return rows.join(F.broadcast(parts), "__part").withColumn(out, F.col("__before") + F.col("__at")).select(*df.columns, out)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge, component being the smallest node it reaches.
 

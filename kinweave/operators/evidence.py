@@ -11,7 +11,7 @@ from kinweave.operators.elections import elect, unambiguous
 
 #: Longest fact, generic hub labels, field hubs kept per person.
 MAX_FACT_CHARS, MAX_FIELD_HUBS = 200, 2
-STOP_LABELS = ("technology", "business", "startups", "software", "innovation", "leadership", "entrepreneurship", "work")
+STOP_LABELS = ("texas", "startup", "founder", "ai", "technology", "business", "ceo", "investor")
 #: The fields of work that a hub may name.
 FIELDS = ("venture capital", "private equity", "angel investing", "developer tools", "consumer social", "social media", "enterprise software", "open source",
           "cloud infrastructure", "information security", "digital health", "life sciences", "climate tech", "financial technology", "online marketplaces", "video games",
@@ -31,8 +31,37 @@ def collect_facts(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     held = c.join(d, ["person_id", "batch_no"]).where(is_cited(F.col("quote"), F.col("source_text")))
     found = held.groupBy(*key).agg(F.count("*").alias("n"), F.min("source_id").alias("only"), F.bool_or(F.col("source_id") == F.col("doc_id")).alias("declared"))
     kept = c.join(found, key).where(F.col("declared") | (F.col("n") == 1)).withColumn("doc_id", F.when(F.col("declared"), F.col("doc_id")).otherwise(F.col("only")))
-    k = F.row_number().over(Window.partitionBy("person_id", "doc_id").orderBy("batch_no", "cand_ordinal")) - 1
-    return kept.withColumn("fact_id", F.concat("doc_id", F.lit("-f"), k.cast("string"))).drop("n", "only", "declared")
+    return number_facts(kept, ["batch_no", "cand_ordinal"]).drop("n", "only", "declared")
+
+
+def number_facts(kept: DataFrame, order: list[str]) -> DataFrame:
+    """kept with a fact_id that counts a person's facts of a document in order, from 0."""
+    k = F.row_number().over(Window.partitionBy("person_id", "doc_id").orderBy(*order)) - 1
+    return kept.withColumn("fact_id", F.concat("doc_id", F.lit("-f"), k.cast("string")))
+
+
+def still_cited(facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """facts(person_id, fact_id, doc_id, quote) with whether their document, as it is now, still holds the quotation."""
+    d = docs.select("person_id", "doc_id", F.col("text").alias("__text"))
+    return facts.join(d, ["person_id", "doc_id"], "left").withColumn("cited", F.coalesce(is_cited(F.col("quote"), F.col("__text")), F.lit(False))).drop("__text")
+
+
+def extract(people: DataFrame, docs: DataFrame, fact_candidates: DataFrame, hub_candidates: DataFrame, places: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
+    """The whole stage over everyone at once: (facts, hubs).
+
+    Facts are cited candidates with the category that their source may carry, judged by the exclusion rules. Hubs are
+    collected from facts and documents, merged per person, cut to the budget of fields, rid of those whose evidence is all
+    excluded, and cities give way to a confirmed place. people(person_id, details), docs(person_id, batch_no, doc_id, kind,
+    url, title, text, published_at), the candidates as collect_facts() and collect_hubs() take them (with natural_category).
+    """
+    from kinweave.operators.exclusion import apply_rules, category_for
+
+    where = docs.select("person_id", "doc_id", "kind", "published_at").dropDuplicates(["person_id", "doc_id"])
+    facts = collect_facts(fact_candidates, docs).join(where, ["person_id", "doc_id"], "left")
+    facts = apply_rules(facts.withColumn("category", category_for(F.col("category"), F.col("natural_category"), F.col("kind"))).drop("natural_category"))
+    hubs = merge_hubs(collect_hubs(hub_candidates, facts.select("person_id", "batch_no", "doc_id", "fact_id", "text", "quote"), docs, today))
+    hubs = supported_hubs(field_budget(hubs), facts)
+    return facts, place_hubs(hubs.select("person_id", "hub_id", "label", "type", "recency", "evidence"), places, people, facts, docs, today)
 
 
 def drop_counters(candidates: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import markup
 from kinweave.functions import text as T
-from kinweave.operators import identity, merging
+from kinweave.operators import evidence, identity, merging
 from kinweave.plans.catalogue import query
 from kinweave.plans.fixtures import table
 
@@ -33,18 +33,40 @@ def doc_id_sha1(spark, sf_dir):
 @query(f"""WITH q AS (SELECT item_id, {NORM.format('text')} AS q FROM benchmark), d AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents)
   SELECT item_id, doc_id FROM q JOIN d ON contains(' ' || t || ' ', ' ' || q || ' ')""")
 def citation_guard(spark, sf_dir):
-    """Quotations in documents: hashes of eight words in a row, or of all words of a shorter quotation, are joined first,
-    the whole quotation is compared after. Only lengths that quotations have are hashed."""
-    gram = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " "))
-    grams = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: gram(F.col("w"), i, F.lit(n)))
+    """Quotations in documents: hashes of eight words in a row, or of all words of a shorter quotation, are looked up first,
+    the whole quotation is compared after. Only lengths that quotations have are hashed. Up to 32 MB of quotations are
+    broadcast, so that documents are scanned once and only hits go on; more of them meet in a shuffle."""
+    grams = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, n)))
     d = table(spark, sf_dir, "documents").select("doc_id", T.normalize_ws(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
-    q = table(spark, sf_dir, "benchmark").select("item_id", T.normalize_ws(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
-    lengths = [r.n for r in q.where("w is not null").select(F.least(F.size("w"), F.lit(8)).alias("n")).distinct().collect()] or [8]  # eight at most
-    seeds = d.where("w is not null").select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams, sorted(lengths))))).alias("g"))
-    first = q.where("w is not null").select("item_id", gram(F.col("w"), F.lit(0), F.lit(8)).alias("g"))
-    pairs = first.join(seeds, "g").select("item_id", "doc_id")
+    q = table(spark, sf_dir, "benchmark").select("item_id", T.normalize_ws(F.col("text")).alias("q")).withColumn("w", F.split("q", " ")).where("w is not null")
+    seen = q.agg(F.collect_set(F.least(F.size("w"), F.lit(8))).alias("n"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0)).alias("bytes")).first()  # eight lengths at most
+    first = q.select("item_id", "q", F.xxhash64(F.slice(F.col("w"), 1, 8)).alias("g"))
+    first = F.broadcast(first) if seen.bytes <= 32 << 20 else first
+    seeds = d.where("w is not null").select("doc_id", "t", F.explode(F.array_distinct(F.concat(*map(grams, sorted(seen.n) or [8])))).alias("g"))
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return pairs.join(q, "item_id").join(d, "doc_id").where(F.contains(pad("t"), pad("q"))).select("item_id", "doc_id").distinct()
+    return seeds.join(first, "g").where(F.contains(pad("t"), pad("q"))).select("item_id", "doc_id").distinct()
+
+
+FOLD = "translate(" + NORM + ", '" + "".join(k.replace("'", "''") for k in T.PLAIN) + "', '" + "".join(v.replace("'", "''") for v in T.PLAIN.values()) + "')"
+
+
+@query(rf"""WITH d AS (SELECT source AS person_id, doc_id // 50 AS batch_no, CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS n, text FROM documents),
+  f AS (SELECT person_id, batch_no, doc_id, replace({FOLD.format('text')}, '…', '...') AS t FROM d),
+  c AS (SELECT person_id, batch_no, n AS cand_ordinal, CASE WHEN n % 4 = 0 THEN 'unknown' ELSE doc_id END AS doc_id,
+    array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:6], ' ') AS quote FROM d),
+  q AS (SELECT *, replace({FOLD.format('quote')}, '…', '...') AS q FROM c WHERE trim(quote) <> ''),
+  h AS (SELECT q.*, f.doc_id AS source_id FROM q JOIN f USING (person_id, batch_no) WHERE len(q) >= 16 AND len(string_split(q, ' ')) >= 3
+    AND regexp_matches(t, '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(q) || '($|[^\p{{L}}\p{{N}}])')),
+  g AS (SELECT person_id, batch_no, cand_ordinal, any_value(doc_id) AS doc_id, count(*) AS n, min(source_id) AS sole, bool_or(source_id = doc_id) AS declared FROM h GROUP BY ALL),
+  k AS (SELECT person_id, batch_no, cand_ordinal, CASE WHEN declared THEN doc_id ELSE sole END AS doc_id FROM g WHERE declared OR n = 1)
+  SELECT *, doc_id || '-f' || (row_number() OVER (PARTITION BY person_id, doc_id ORDER BY batch_no, cand_ordinal) - 1) AS fact_id FROM k""")
+def cited_facts(spark, sf_dir):
+    """One candidate per document that quotes its first six words; every fourth names no document of its batch."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("person_id"), F.floor(i / 50).alias("batch_no"), i.cast("string").alias("doc_id"), i.alias("n"), "text")
+    quote = F.array_join(F.slice(F.split(T.sentence(F.col("text")), " "), 1, 6), " ")
+    c = d.select("person_id", "batch_no", F.col("n").alias("cand_ordinal"), F.when(F.col("n") % 4 == 0, "unknown").otherwise(F.col("doc_id")).alias("doc_id"), F.lit("A fact.").alias("text"), quote.alias("quote"))
+    return evidence.collect_facts(c, d).select("person_id", "batch_no", "cand_ordinal", "doc_id", "fact_id")
 
 
 @query(f"""SELECT md5(text) AS doc_id, min_by(source, ({RANK}, doc_id)) AS source, min_by(doc_id, ({RANK}, doc_id)) AS ordinal FROM documents GROUP BY 1""")
@@ -128,11 +150,11 @@ def doc_clip(spark, sf_dir):
 
 @query(r"SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ')) AS text FROM documents")
 def deinvert(spark, sf_dir):
-    """Round trip: an inverted index of each text's words and back; done by exploding, as texts are long."""
+    """Round trip: an inverted index of each whole text's words, as JSON, and back."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     at = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("p", "w"))
-    index = at.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
-    back = index.select("doc_id", "w", F.explode("ps").alias("p")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]), " ").alias("t"))
+    index = at.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "ps")))).alias("json"))
+    back = index.select("doc_id", T.deinvert(F.col("json")).alias("t"))
     return table(spark, sf_dir, "documents").select("doc_id").join(back, "doc_id", "left").select("doc_id", F.md5(F.coalesce("t", F.lit(""))).alias("text"))
 
 
@@ -148,3 +170,16 @@ def corpus_stats(spark, sf_dir):
 @query("SELECT doc_id, contains(text, chr(0)) OR len(text) > 0 AND ((len(left(text, 4096)) - len(replace(left(text, 4096), '�', ''))) > 0.1 * len(left(text, 4096)) OR (len(left(text, 4096)) - len(regexp_replace(left(text, 4096), '[\\x01-\\x08\\x0e-\\x1f\\x7f]', '', 'g'))) > 0.02 * len(left(text, 4096))) AS binary FROM documents")
 def binary_sniff(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.looks_binary(F.col("text")).alias("binary"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN ltrim(coalesce(b, '')) = '' THEN NULL WHEN regexp_matches(b, '^[\[{]') THEN 'json' WHEN regexp_matches(b, '^<html') THEN 'html' WHEN regexp_matches(b, '^<rss') THEN 'xml' WHEN regexp_matches(b, '<(html|head|body|div|p)\b') THEN 'html' ELSE 'text' END AS kind
+  FROM (SELECT doc_id, lower(left(ltrim(CASE doc_id % 4 WHEN 0 THEN '{' WHEN 1 THEN ' <html>' WHEN 2 THEN '<rss>' ELSE '' END || text), 512)) AS b FROM documents)""")
+def body_kind(spark, sf_dir):
+    head = F.element_at(F.array(F.lit("{"), F.lit(" <html>"), F.lit("<rss>"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.looks_like(F.concat(head, "text")).alias("kind"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(coalesce(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
+def pages_title(spark, sf_dir):
+    """Titles, read by the parser and by a pattern."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.coalesce(markup.page("html")["title"], F.lit("")), r"\s+", " ").alias("title"))

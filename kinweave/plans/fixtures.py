@@ -50,7 +50,7 @@ stats AS (SELECT hub_id, carriers, greatest(0.0, ln(n / (1 + carriers))) AS idf,
           FROM (SELECT hub_id, count(DISTINCT person_id) AS carriers, min(type) AS type, min(label) AS label FROM edges GROUP BY hub_id), people),
 contrib AS (SELECT a.person_id, b.person_id AS other_id, a.hub_id, s.type, s.label, s.idf * least(a.recency, b.recency) * s.boost AS contribution
             FROM edges a JOIN edges b ON a.hub_id = b.hub_id AND a.person_id <> b.person_id JOIN stats s ON s.hub_id = a.hub_id WHERE s.idf > 0),
-pairs AS (SELECT person_id, other_id, round(sum(contribution), 6) AS raw FROM contrib GROUP BY ALL),
+pairs AS (SELECT person_id, other_id, round(sum(contribution), 12) AS raw FROM contrib GROUP BY ALL),
 scored AS (SELECT person_id, other_id, raw,
                   CAST(CASE WHEN raw <= 0 THEN 0 WHEN n < 3 THEN 100 ELSE least(100, greatest(0, round_even(100 * raw / (ln(n / 3) * 1.5), 0))) END AS INT) AS score,
                   CAST(row_number() OVER (PARTITION BY person_id ORDER BY raw DESC, other_id) AS INT) AS rank

@@ -8,7 +8,9 @@ from kinweave.operators import affinity as A
 from kinweave.operators import elections, views
 from kinweave.operators.components import connected_components
 from kinweave.plans.catalogue import query
+from kinweave.plans.events import LOG
 from kinweave.plans.fixtures import EDGES, hub_edges, people, table
+from kinweave.streaming import presence as P
 
 
 def _graph(spark, sf_dir):
@@ -26,12 +28,12 @@ def hub_idf(spark, sf_dir):
     return _graph(spark, sf_dir)[1].select("hub_id", "type", "carriers", F.round("idf", 6).alias("idf"), F.round("cost", 6).alias("cost"), "boost")
 
 
-@query(f"WITH {EDGES} SELECT * FROM scored")
+@query(f"WITH {EDGES} SELECT person_id, other_id, round(raw, 6) AS raw, score, rank FROM scored")
 def match_scores(spark, sf_dir):
     return A.match_scores(*_graph(spark, sf_dir))
 
 
-@query(f"WITH {EDGES} SELECT person_id, other_id, raw, score, CAST(rank AS INT) AS place FROM scored WHERE rank <= 3")
+@query(f"WITH {EDGES} SELECT person_id, other_id, round(raw, 6) AS raw, score, CAST(rank AS INT) AS place FROM scored WHERE rank <= 3")
 def match_top3(spark, sf_dir):
     from kinweave.operators.digest import meet
 
@@ -54,7 +56,7 @@ def match_contributions(spark, sf_dir):
   SELECT person_id, other_id, 'B' || substr(l, 2) || '.' AS why, 'person:' || person_id || '>hub:' || top || '>person:' || other_id AS path FROM g""")
 def pair_path_why(spark, sf_dir):
     e, s, _ = _graph(spark, sf_dir)
-    return A.why_and_path(A.contributions(e, s)).select("person_id", "other_id", "why", F.array_join("path", ">").alias("path"))
+    return A.mirrored(A.why_and_path(A.shared_hubs(e, s))).select("person_id", "other_id", "why", F.array_join("path", ">").alias("path"))
 
 
 @query("""WITH v AS (SELECT p_brand, split_part(p_name, ' ', 1) AS w, count(*) AS n FROM part GROUP BY ALL)
@@ -136,20 +138,76 @@ def carrier_histogram(spark, sf_dir):
     return views.carrier_histogram(_graph(spark, sf_dir)[1])
 
 
-@query(f"""WITH {EDGES}, h AS (SELECT hub_id, count(DISTINCT person_id) AS here FROM edges WHERE person_id % 5 = 0 GROUP BY 1)
-  SELECT h.hub_id, here, here >= 2 AS shared, carriers, round(idf * boost, 6) AS worth FROM h JOIN stats USING (hub_id)""")
+#: Who is present by the events, and who of them came on the log's last day.
+ROOM = f"""{LOG}, here AS (SELECT person_id, ts FROM stay WHERE kind = 'arrive' AND until IS NULL),
+  came AS (SELECT person_id FROM here WHERE ts >= (SELECT max(ts) FROM log) - INTERVAL 1 DAY)"""
+
+
+def _room(spark, sf_dir):
+    log = P.presence_log(table(spark, sf_dir, "events"))
+    here = P.present_now(log)
+    end = F.broadcast(log.agg((F.max("ts") - F.expr("interval 1 day")).alias("day")))  # one row
+    return here, here.join(end).where("since >= day").select("person_id")
+
+
+@query(f"""WITH {EDGES}, {ROOM}, h AS (SELECT hub_id, count(DISTINCT person_id) AS here FROM edges SEMI JOIN here USING (person_id) GROUP BY 1)
+  SELECT h.hub_id, h.here, h.here >= 2 AS shared, carriers, round(idf * boost, 6) AS worth FROM h JOIN stats USING (hub_id)""")
 def presence_hubs(spark, sf_dir):
     e, s, _ = _graph(spark, sf_dir)
-    return A.presence_hubs(e, s, e.where("person_id % 5 = 0"))
+    return A.presence_hubs(e, s, _room(spark, sf_dir)[0])
+
+
+@query(f"""WITH {EDGES}, {ROOM}, h AS (SELECT hub_id, count(DISTINCT person_id) AS n FROM edges SEMI JOIN here USING (person_id) GROUP BY 1)
+  SELECT CASE WHEN p = 0 THEN 'empty' WHEN p = 1 THEN 'alone' WHEN shared = 0 THEN 'strangers' ELSE 'connected' END AS state, p AS people, shared, solo
+  FROM (SELECT count(*) AS p FROM here), (SELECT count(*) FILTER (n >= 2) AS shared, count(*) FILTER (n < 2) AS solo FROM h)""")
+def presence_state(spark, sf_dir):
+    e, s, _ = _graph(spark, sf_dir)
+    here = _room(spark, sf_dir)[0]
+    return views.presence_state(here, A.presence_hubs(e, s, here))
+
+
+@query(f"""WITH {EDGES}, {ROOM} SELECT h.person_id, coalesce(c_name, CAST(h.person_id AS VARCHAR)) AS name, h.person_id IN (SELECT person_id FROM edges) AS in_graph FROM here h LEFT JOIN customer ON c_custkey = h.person_id""")
+def present_roster(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"))
+    return views.present_roster(_room(spark, sf_dir)[0].select("person_id"), people, hub_edges(spark, sf_dir))
 
 
-@query(f"""WITH {EDGES}, p AS (SELECT DISTINCT person_id FROM edges WHERE person_id % 5 = 0), a AS (SELECT DISTINCT person_id FROM edges WHERE person_id % 7 = 0),
-  x AS (SELECT a.person_id, p.person_id AS other_id FROM a, p WHERE a.person_id <> p.person_id), y AS (SELECT x.*, coalesce(q.raw, 0) AS raw FROM x LEFT JOIN pairs q USING (person_id, other_id))
-  SELECT person_id, other_id, raw, CAST(CASE WHEN raw <= 0 THEN 0 ELSE least(100, greatest(0, round_even(100 * raw / (ln(n / 3) * 1.5), 0))) END AS INT) AS score,
+@query(f"""WITH {EDGES}, {ROOM}, x AS (SELECT a.person_id, p.person_id AS other_id FROM came a, here p WHERE a.person_id <> p.person_id), y AS (SELECT x.*, coalesce(q.raw, 0) AS raw FROM x LEFT JOIN pairs q USING (person_id, other_id))
+  SELECT person_id, other_id, round(raw, 6) AS raw, CAST(CASE WHEN raw <= 0 THEN 0 ELSE least(100, greatest(0, round_even(100 * raw / (ln(n / 3) * 1.5), 0))) END AS INT) AS score,
     CAST(row_number() OVER (PARTITION BY person_id ORDER BY raw DESC, other_id) AS INT) AS rank FROM y, people""")
 def match_present(spark, sf_dir):
+    """Those who came on the last day of the log, matched with everyone present."""
     e, s, n = _graph(spark, sf_dir)
-    return A.match_present(e.where("person_id % 7 = 0"), e.where("person_id % 5 = 0"), e, s, n)
+    here, came = _room(spark, sf_dir)
+    return A.match_present(came, here, e, s, n)
+
+
+@query(f"""WITH {EDGES}, {ROOM}, x AS (SELECT a.person_id, p.person_id AS other_id FROM came a, here p WHERE a.person_id <> p.person_id), y AS (SELECT x.*, coalesce(q.raw, 0) AS raw FROM x LEFT JOIN pairs q USING (person_id, other_id))
+  SELECT person_id, other_id, CAST(row_number() OVER (PARTITION BY person_id ORDER BY raw DESC, other_id) AS INT) AS rank FROM y""")
+def arrivals_matched(spark, sf_dir):
+    """The same answer as a batch of arrivals meets it: the log's last day after all days before."""
+    from kinweave.streaming.arrivals import matches_on_arrival
+
+    e, s, n = _graph(spark, sf_dir)
+    log = P.presence_log(table(spark, sf_dir, "events"))
+    end = F.broadcast(log.agg((F.max("ts") - F.expr("interval 1 day")).alias("day")))  # one row
+    day = log.join(end)
+    roster = table(spark, sf_dir, "events").select(F.col("user_id").alias("person_id")).distinct()
+    return matches_on_arrival(day.where("ts >= day").drop("day"), day.where("ts < day").drop("day"), roster, e, s, n).select("person_id", "other_id", "rank")
+
+
+@query(f"WITH {EDGES} SELECT type, count(*) AS count, max(boost)::DOUBLE AS type_boost FROM stats GROUP BY 1")
+def type_rows(spark, sf_dir):
+    return views.type_rows(_graph(spark, sf_dir)[1])
+
+
+@query(f"""WITH {EDGES}, e AS (SELECT DISTINCT person_id, hub_id FROM edges), g AS (SELECT person_id, count(*) AS n_hubs, count(*) FILTER (carriers >= 2) AS n_shared,
+    string_agg(CAST(hub_id AS VARCHAR), ',' ORDER BY idf * boost DESC, lower(label), hub_id) AS hubs FROM e JOIN stats USING (hub_id) GROUP BY 1)
+  SELECT c_custkey AS person_id, coalesce(n_hubs, 0) AS n_hubs, coalesce(n_shared, 0) AS n_shared, hubs FROM customer LEFT JOIN g ON person_id = c_custkey""")
+def corpus_view(spark, sf_dir):
+    e, s, _ = _graph(spark, sf_dir)
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"))
+    return views.corpus_view(people, e, s).select("person_id", "n_hubs", "n_shared", F.array_join("hubs", ",").alias("hubs"))
 
 
 @query(f"""WITH {EDGES}, f AS (SELECT DISTINCT user_id AS person_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS hub_id FROM events WHERE event_type = 'click'),

@@ -9,13 +9,17 @@ from kinweave.operators import digest, exclusion, merging, views
 from kinweave.plans.catalogue import query
 from kinweave.plans.fixtures import CATEGORIES, FACTS, KINDS, TODAY, _pick, facts, sql_pick, table
 
-#: Invented sentences with a cue or none, by customer.
+#: Invented sentences by customer: what each kind of rule has to tell apart.
 LINES = (
     "{} was diagnosed with asthma last year.", "{} builds clinical software for hospitals.", "{} is married to a painter.", "{} reportedly moved abroad.",
     "{} settled the lawsuit quietly.", "{} runs a marketing campaign for bakers.", "{} has a net worth of millions.", "{} teaches pottery on Sundays.",
-    "{} voted for the new bridge.", "{} bought a house by the lake.", "{} wrote a children's book.", "{} sells surgery robots.", "{} joined the ballot committee.")
-EXPECT = ("exclude", "keep", "exclude", "unsure", "unsure", "keep", "exclude", "keep", "exclude", "exclude", "keep", "keep", "unsure")
-REASON = ("health", "", "family", "", "legal", "", "wealth", "", "political", "home_or_property", "", "", "political")
+    "{} voted for the new bridge.", "{} bought a house by the lake.", "{} wrote a children's book.", "{} sells surgery robots.", "{} joined the ballot committee.",
+    "{} underwent heart surgery and left the hospital for home.", "{} sold a divorce-mediation app to law firms.", "{} was sued by a neighbour over a fence.",
+    "{} lives in a mill outside town.", "{} gave 500 to a mayor's campaign.", "His sister company ships looms; {} signs for both.", "{} keeps their salary data in a drawer.",
+    "{} publishes salary transparency research.", "{} and her partner run the mill.", "{} left, and no filing explains it.", "{} was charged with rebuilding the bridge.",
+    "{} was charged with petty theft.", "{} tracks court records for publishers.", "A clerk kept their court records; {} knew.", "{} has two sons at sea.",
+    "{} is a registered independent contractor.", "The farmhouse they bought is on 12 Mill Lane; {} said so.",
+)
 
 
 def _sentences(spark, sf_dir):
@@ -23,24 +27,37 @@ def _sentences(spark, sf_dir):
     return c.select(k.alias("person_id"), F.replace(_pick(LINES, k), F.lit("{}"), F.col("c_name")).alias("text"))
 
 
-@query(f"SELECT c_custkey AS person_id, {sql_pick(EXPECT, 'c_custkey')} AS decision, nullif({sql_pick(REASON, 'c_custkey')}, '') AS reason FROM customer")
+_LINES_SQL = "list_extract([" + ", ".join("'" + x.replace("'", "''") + "'" for x in LINES) + f"], CAST(c_custkey % {len(LINES)} AS INT) + 1)"
+_DECISION, _REASON = exclusion.verdict_sql("text")
+#: The rules once more in SQL, over the customers' sentences.
+JUDGED = f"""said AS (SELECT c_custkey AS person_id, replace({_LINES_SQL}, '{{}}', c_name) AS text FROM customer),
+  judged AS (SELECT person_id, text, {_DECISION} AS decision, {_REASON} AS reason FROM said)"""
+
+
+@query(f"WITH {JUDGED} SELECT person_id, decision, reason FROM judged")
 def taste_rules(spark, sf_dir):
     return _sentences(spark, sf_dir).withColumn("v", exclusion.rule_verdict(F.col("text"))).select("person_id", "v.decision", "v.reason")
 
 
-@query(f"""SELECT coalesce(CASE {sql_pick(EXPECT, 'c_custkey')} WHEN 'exclude' THEN {sql_pick(REASON, 'c_custkey')} WHEN 'unsure' THEN 'low_confidence' END, 'shown') AS reason, count(*) AS n FROM customer GROUP BY 1""")
+@query(f"SELECT doc_id, {_DECISION} AS decision, {_REASON} AS reason FROM (SELECT doc_id, text || ' ' || replace({_LINES_SQL.replace('c_custkey', 'doc_id')}, '{{}}', 'Ada') AS text FROM documents)")
+def taste_documents(spark, sf_dir):
+    """Whole documents with a sentence after them."""
+    said = F.concat("text", F.lit(" "), F.replace(_pick(LINES, F.col("doc_id")), F.lit("{}"), F.lit("Ada")))
+    return table(spark, sf_dir, "documents").select("doc_id", exclusion.rule_verdict(said).alias("v")).select("doc_id", "v.decision", "v.reason")
+
+
+@query(f"WITH {JUDGED} SELECT CASE decision WHEN 'exclude' THEN reason WHEN 'unsure' THEN 'low_confidence' ELSE 'shown' END AS reason, count(*) AS n FROM judged GROUP BY 1")
 def taste_applied(spark, sf_dir):
     return exclusion.apply_rules(_sentences(spark, sf_dir)).groupBy(F.coalesce("exclusion_reason", F.lit("shown")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT c_custkey AS person_id, CASE WHEN {sql_pick(EXPECT, 'c_custkey')} = 'exclude' THEN '[quote withheld]' ELSE 'as it is' END AS quote FROM customer")
+@query(f"WITH {JUDGED} SELECT person_id, CASE WHEN decision = 'exclude' THEN '{exclusion.QUOTE_WITHHELD}' ELSE text END AS quote FROM judged")
 def quote_screen(spark, sf_dir):
-    q = exclusion.screen_quote(F.col("text"))
-    return _sentences(spark, sf_dir).select("person_id", F.when(q == F.col("text"), "as it is").otherwise(q).alias("quote"))
+    return _sentences(spark, sf_dir).select("person_id", exclusion.screen_quote(F.col("text")).alias("quote"))
 
 
-@query(f"""SELECT CASE WHEN e = 'unsure' THEN CASE WHEN p % 3 = 0 THEN 'keep' WHEN p % 3 = 1 THEN 'exclude' ELSE 'unsure' END ELSE e END <> 'keep' AS excluded, count(*) AS n
-  FROM (SELECT c_custkey AS p, {sql_pick(EXPECT, 'c_custkey')} AS e FROM customer) GROUP BY 1""")
+@query(f"""WITH {JUDGED} SELECT CASE WHEN decision = 'unsure' THEN CASE WHEN person_id % 3 = 0 THEN 'keep' WHEN person_id % 3 = 1 THEN 'exclude' ELSE 'unsure' END ELSE decision END <> 'keep' AS excluded, count(*) AS n
+  FROM judged GROUP BY 1""")
 def taste_rulings(spark, sf_dir):
     f = _sentences(spark, sf_dir).select(F.floor(F.col("person_id") / 20).alias("batch_no"), F.col("person_id").cast("string").alias("fact_id"), "text", "person_id")
     p = F.col("person_id")
@@ -71,10 +88,10 @@ SHOWN = f"shown AS (SELECT * FROM facts WHERE {WHY} IS NULL)"
 NEWEST = "published_at DESC NULLS LAST, confidence DESC, fact_id DESC"
 
 
-@query(f"WITH {FACTS} SELECT fact_id FROM facts WHERE {WHY} IS NULL")
+@query(f"WITH {FACTS}, {JUDGED} SELECT fact_id FROM facts JOIN judged USING (person_id) WHERE {WHY} IS NULL AND decision <> 'exclude'")
 def displayable(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return f.where(exclusion.is_displayable(F.lit("a plain sentence"), F.col("excluded"), F.col("confidence"), F.col("kind"))).select("fact_id")
+    f = facts(spark, sf_dir).join(_sentences(spark, sf_dir), "person_id")
+    return f.where(exclusion.is_displayable(F.col("text"), F.col("excluded"), F.col("confidence"), F.col("kind"))).select("fact_id")
 
 
 @query(f"""WITH {FACTS}, {SHOWN}, p AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY category <> 'recent_activity', {NEWEST}) AS n FROM shown
@@ -151,14 +168,61 @@ def cache_ttl(spark, sf_dir):
 
 @query(f"WITH {FACTS} SELECT fact_id, doc_id || '-f' || (row_number() OVER (PARTITION BY person_id, doc_id ORDER BY fact_id) - 1) AS numbered FROM facts")
 def fact_numbering(spark, sf_dir):
-    from pyspark.sql import Window
+    from kinweave.operators import evidence
+
+    f = facts(spark, sf_dir).withColumn("own", F.col("fact_id"))
+    return evidence.number_facts(f, ["own"]).select(F.col("own").alias("fact_id"), F.col("fact_id").alias("numbered"))
+
+
+TEXTS = "text AS (SELECT *, 'Works on order ' || fact_id || '.' AS text FROM shown)"
+#: Customers with their opening and the facts that fit into thirty words, four words each after the name.
+WHO = """who AS (SELECT person_id, fact_id, text, doc_id, confidence, row_number() OVER (PARTITION BY person_id ORDER BY confidence DESC, fact_id) - 1 AS pos FROM text WHERE category = 'current_work' QUALIFY pos < 7),
+  line AS (SELECT c_custkey AS person_id, c_name || '. ' || coalesce(l, upper(left(c_mktsegment, 1)) || substr(c_mktsegment, 2) || '.') AS who_line, coalesce(ids, '') AS fact_ids
+    FROM customer LEFT JOIN (SELECT person_id, string_agg(text, ' ' ORDER BY pos) AS l, string_agg(fact_id, ',' ORDER BY pos) AS ids FROM who GROUP BY 1) ON person_id = c_custkey)"""
+
+
+def _people(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("details"))
+
 
-    k = F.row_number().over(Window.partitionBy("person_id", "doc_id").orderBy("fact_id")) - 1
-    return facts(spark, sf_dir).select("fact_id", F.concat("doc_id", F.lit("-f"), k.cast("string")).alias("numbered"))
+def _spoken(f):
+    return f.withColumn("text", F.concat(F.lit("Works on order "), "fact_id", F.lit(".")))
 
 
-@query()
+@query(f"WITH {FACTS}, {SHOWN}, {TEXTS}, {WHO} SELECT person_id, who_line AS line, fact_ids FROM line")
 def who_lines(spark, sf_dir):
-    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.array(F.col("c_mktsegment")).alias("details"))
-    f = _judged(spark, sf_dir).where("reason is null").withColumn("text", F.concat(F.lit("Works on order "), "fact_id", F.lit(".")))
-    return digest.who_line(p, f).select("person_id", "line", F.array_join("fact_ids", ",").alias("fact_ids"))
+    f = _spoken(_judged(spark, sf_dir).where("reason is null"))
+    return digest.who_line(_people(spark, sf_dir), f).select("person_id", "line", F.array_join("fact_ids", ",").alias("fact_ids"))
+
+
+@query(f"""WITH {FACTS}, {SHOWN}, {TEXTS}, {WHO}, rest AS (SELECT * FROM text ANTI JOIN who USING (person_id, fact_id)),
+  rare AS (SELECT person_id, max_by(fact_id, (confidence, fact_id)) AS fact_id FROM text WHERE category = 'non_obvious' AND kind IN {exclusion.NON_OBVIOUS} GROUP BY 1),
+  pool AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY category <> 'recent_activity', {NEWEST}) AS n FROM rest WHERE published_at IS NOT NULL AND category IN ('recent_activity', 'affiliation', 'hook', 'interest')),
+  news AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY {NEWEST}) AS place FROM pool WHERE n <= 3),
+  hook AS (SELECT person_id, fact_id, text FROM rest QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY category = 'hook' DESC,
+    CASE WHEN category = 'hook' THEN confidence END DESC NULLS LAST, CASE WHEN category = 'hook' THEN fact_id END DESC NULLS LAST, {NEWEST}) = 1),
+  say AS (SELECT c_custkey AS person_id, CASE WHEN c_custkey % 3 = 0 THEN 'Ask how the season went.' ELSE coalesce('Ask about this: ' || text, '{digest.OPENER_LAST}') END AS line, CASE WHEN c_custkey % 3 <> 0 THEN fact_id END AS quoted FROM customer LEFT JOIN hook ON person_id = c_custkey),
+  pairs AS (SELECT c_custkey AS person_id, c_custkey + i AS other_id, (c_custkey * 7 + i * 31) % 100 AS score, (c_custkey + i) % 3 AS w FROM customer, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
+  top AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY score DESC, other_id) AS place FROM pairs QUALIFY place <= 3),
+  met AS (SELECT person_id, string_agg(other_id || ':' || score || ':' || CASE w WHEN 0 THEN 'Both connected to Databricks.' WHEN 1 THEN 'Both on Reuters Media Group news.' ELSE '{digest.WHY_LAST}' END, ';' ORDER BY place) AS meet FROM top GROUP BY 1),
+  behind AS (SELECT person_id, max(fact_id) AS fact_id FROM facts GROUP BY 1),
+  stream AS (SELECT person_id, fact_id, 0 AS section, pos, 0 AS later FROM who UNION ALL SELECT person_id, fact_id, 1, place, 0 FROM news UNION ALL SELECT person_id, fact_id, 2, 0, 0 FROM rare
+    UNION ALL SELECT top.person_id, b.fact_id, 3, place, 0 FROM top JOIN behind b ON b.person_id = top.person_id UNION ALL SELECT person_id, quoted, 4, 0, 0 FROM say WHERE quoted IS NOT NULL),
+  cite AS (SELECT s.person_id, t.doc_id, min((section, pos, later)) AS m, min_by(fact_id, (-confidence, fact_id)) AS fact_id FROM stream s JOIN text t USING (person_id, fact_id) GROUP BY ALL),
+  src AS (SELECT person_id, string_agg(n || ':' || doc_id || ':' || fact_id, ';' ORDER BY n) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY m, doc_id) AS n FROM cite) GROUP BY 1)
+  SELECT left(sha1('digest:' || l.person_id), 16) AS digest_id, l.person_id, who_line, coalesce(meet, '') AS meet, coalesce((SELECT string_agg(fact_id, ',' ORDER BY place) FROM news WHERE news.person_id = l.person_id), '') AS lately,
+    rare.fact_id AS non_obvious, say.line AS say_out_loud, coalesce(sources, '') AS sources
+  FROM line l LEFT JOIN met USING (person_id) LEFT JOIN rare USING (person_id) LEFT JOIN say USING (person_id) LEFT JOIN src USING (person_id)""")
+def digest_pages(spark, sf_dir):
+    """Digests of all customers: five partners each, of whose reasons some need mending and some cannot be said."""
+    people, f = _people(spark, sf_dir), _spoken(facts(spark, sf_dir))
+    p, o = F.col("person_id"), F.col("other_id")
+    why = _pick(("Both connected to Databricks [1].", "Both on Reuters Media Group (old) news.", "Both at Argues that prices rise."), p + o - p)
+    m = people.select("person_id", F.explode(F.array(*(F.col("person_id") + i for i in range(1, 6)))).alias("other_id"))
+    m = m.withColumn("score", (p * 7 + (o - p) * 31) % 100).withColumns({"raw": F.col("score") / 100.0, "why": why, "labels": F.array(F.lit("Reuters Media Group"))})
+    behind = m.select("person_id", "other_id", F.lit(0).alias("ordinal")).join(f.groupBy("person_id").agg(F.max("fact_id").alias("fact_id")), "person_id")
+    a = people.select("person_id", F.when(p % 3 == 0, "Ask how the season went.").when(p % 3 == 1, "We noticed a new order.").alias("line")).where("line is not null")
+    d = digest.make_digest(people, f, m, behind, a)
+    joined = lambda c, x: F.array_join(F.transform(c, x), ";")
+    return d.select("digest_id", "person_id", "who_line", joined("meet", lambda x: F.concat_ws(":", x["other_id"], x["score"], x["why"])).alias("meet"), F.array_join("lately", ",").alias("lately"),
+                    "non_obvious", "say_out_loud", joined("sources", lambda x: F.concat_ws(":", x["number"], x["doc_id"], x["fact_id"])).alias("sources"))

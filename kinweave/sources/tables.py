@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ DISPLAY_ORDER = ("self_page", "wikipedia", "wikidata", "github", "openalex", "ed
 
 
 def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per dossier file, the last path winning a person; a malformed file fails the read."""
+    """One row per dossier file, the last path winning a person; a malformed file fails the read. No folder, no rows."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], DOSSIER)
     df = spark.read.schema(DOSSIER).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("path", F.col("_metadata.file_path"))
     return df.groupBy("person.person_id").agg(F.max_by(F.struct(*df.columns), "path").alias("r")).select("r.*").drop("path")
 
@@ -33,8 +36,24 @@ def hub_edges_of(dossiers: DataFrame) -> DataFrame:
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, name, details) of a JSON roster."""
-    return spark.read.schema(ROSTER).option("multiLine", True).json(path).select(F.posexplode("people").alias("ordinal", "p")).select("ordinal", "p.name", "p.details")
+    """(ordinal, name, details) of a JSON roster; an entry may be a bare name. A roster without people is an error."""
+    entry = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "people array<string>")["people"]).alias("ordinal", "e"))
+    known = F.from_json("e", "name string, details array<string>")
+    out = entry.select("ordinal", F.when(F.ltrim("e").startswith("{"), known["name"]).otherwise(F.trim("e")).alias("name"), F.coalesce(known["details"], F.array().cast("array<string>")).alias("details"))
+    if out.isEmpty():
+        raise ValueError(f"{path} names nobody")
+    return out
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's reader finds anything under a path."""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def source_kinds(spark: SparkSession) -> DataFrame:
@@ -64,9 +83,9 @@ def safe_ids(df: DataFrame, col: str) -> DataFrame:
 
 
 def write_dossiers(dossiers: DataFrame, path: str) -> None:
-    """One JSON folder per person; the commit protocol makes it atomic."""
+    """One JSON folder per person; the commit protocol makes it atomic. Only the people written are replaced."""
     out = dossiers.withColumn("person_id", F.col("person.person_id"))
-    safe_ids(out, "person_id").write.partitionBy("person_id").mode("overwrite").json(path)
+    safe_ids(out, "person_id").write.partitionBy("person_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
 
 
 def still_to_build(roster: DataFrame, complete: DataFrame) -> DataFrame:
