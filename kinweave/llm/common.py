@@ -1,10 +1,7 @@
-"""Shared plumbing: lineage cuts, connected components, streamed groups and hashing in numpy."""
+"""Shared plumbing: streamed groups, slices of batches and hashing in numpy. Cuts, split joins and components are the library's."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators.components import HOT_SHARE, connected_components, cut, join_split
+
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory whatever an Arrow batch holds.
 SLICE_BYTES = 2 << 20
 
@@ -24,30 +23,6 @@ def ascii_lower(c):
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; only where neither it nor a directory is set (tests), a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-"))
-
-
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """Computes df now and cuts its lineage with a checkpoint on shared storage, which survives lost executors.
-
-    release asks both garbage collectors to run, so that shuffle files behind the cut are deleted now and not at
-    some later collection; worth it after a large shuffle only.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    if release:
-        del df
-        for _ in range(3):  # Python's references are dropped on the JVM's side by a thread, a finished query's by its listeners
-            gc.collect()
-            time.sleep(0.7)
-            out.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id long, text). Columns that are already so called stay untouched, which lets Spark recognise equal
     subplans and read one shuffle of the texts several times."""
@@ -56,49 +31,9 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(doc, F.col("text") if text_col == "text" else F.col(text_col).alias("text"))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge, component being the smallest node it reaches.
-
-    Alternating large-star and small-star rounds: every row is one edge, minima are pre-aggregated before each
-    shuffle, no adjacency list is ever gathered. The number of rounds is logarithmic in the longest path.
-    Null ends and self-loops are ignored.
-    """
-    e = cut(
-        edges.where((F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
-        .distinct()
-    )
-    state = _signature(e)
-    while state[0]:
-        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                    F.struct(F.col("u"), F.col("m").alias("v")),
-                )
-            ).alias("x")
-        )
-        e = cut(small.select("x.u", "x.v").where("u <> v").distinct())
-        now = _signature(e)
-        if now == state:
-            break
-        state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
-def _signature(e: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(e.agg(F.count("*"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))), F.bit_xor(h)).first())
+def parts_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for a shuffle that adaptive execution does not size: enough for `each` rows in one, and at least the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -148,3 +83,6 @@ def min_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if (label == old).all():
             break
     return label
+
+
+__all__ = ["HOT_SHARE", "ascii_lower", "connected_components", "cut", "groups", "join_split", "min_labels", "mix64", "parts_for", "slices", "texts"]

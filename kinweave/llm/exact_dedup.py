@@ -47,7 +47,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # byte comparison inside groups: text is fetched for members of real groups only
     role = rows.where("n > 1 and doc_id is not null").select("doc_id", "k").distinct()
     member = raw.join(role, "doc_id").select("doc_id", norm.alias("norm"), "k").where(key(F.col("norm")) == F.col("k"))
-    unequal = cut(member.groupBy("k").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("k"), release=True)
+    unequal = cut(member.groupBy("k").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where("lo <> hi").select("k"))
     if not unequal.isEmpty():
         apart = member.join(unequal, "k", "left_semi").groupBy("k", "norm").agg(best("doc_id").alias("own_keep"), F.count("*").alias("own_n"))
         apart = apart.select("k", F.unhex(F.sha2("norm", 256)).alias("sha"), "own_keep", "own_n")

@@ -116,6 +116,19 @@ def band_hashes(signatures: np.ndarray, bands: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """One byte per slot: equal slots have equal bytes, others do by chance in 1 of 256."""
+    return (mix64(np.ascontiguousarray(signatures).view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+
+
+def shared(s: np.ndarray, other: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(s) or not len(other):
+        return 0
+    at = np.minimum(np.searchsorted(other, s), len(other) - 1)
+    return int((other[at] == s).sum())
+
+
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of all intersections of left with right (or with left). Elements that only one set has are left out,
     the rest become columns of 0/1 matrices that are multiplied a few thousand columns at a time."""
@@ -152,4 +165,4 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return i, j
 
 
-__all__ = ["band_hashes", "intersections", "linked", "min_labels", "set_digests", "shingle_sets", "super_minhash", "words"]
+__all__ = ["band_hashes", "intersections", "linked", "min_labels", "set_digests", "shared", "shingle_sets", "sketches", "super_minhash", "words"]
