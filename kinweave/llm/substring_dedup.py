@@ -9,10 +9,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, partitions, slices, texts
+from .common import HOT_SHARE, cut, join_split, mix64, slices, texts
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -61,7 +60,8 @@ class _Words:
         return np.unique(first + (w - 1 - view[first].argmin(axis=1)))
 
 
-def _anchored(length: int):
+def _anchored(length: int, anchors_only: bool = False):
+    """Seeds of each document; with anchors_only, just each document's distinct anchors."""
     side = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +70,12 @@ def _anchored(length: int):
                 w = _Words(part.column("text").to_pylist())
                 p = w.anchors(length)
                 d = w.doc[p]
+                if anchors_only:
+                    pair = np.stack([d, w.range_hash(p, p + ANCHOR).view(np.int64)])
+                    d, anchor = np.unique(pair, axis=1) if len(p) else pair
+                    ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(anchor)], names=["doc_id", "anchor"])
+                    continue
                 a, b = np.maximum(w.start[d], p - side), np.minimum(w.start[d + 1], p + length)
                 anchor, context = w.range_hash(p, p + ANCHOR), w.range_hash(a, b, (p - a) * 64 + (b - p))
                 # a document's equal seeds travel as one row
@@ -148,42 +154,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and share one result. Ties cannot arise. An empty table gives an empty result. Other columns are not read.
 
     Plan. Seed: winnowing picks, from each window's content alone, one anchor in it, so two equal windows share
-    their anchor; about a fifth of the words start one. Anchors are shuffled once, by hash, with a second hash of
-    the context to both sides within reach of a window. Extend: where that whole context already stood in a smaller
-    document, all windows around the anchor are repeats; this settles the inside of long repeats without comparing
-    pairs of documents. Only seeds whose anchor, but not whose context, stood in a smaller document stay open,
-    mostly at ends of repeats: they, and first contexts with the same anchor, spell out their windows, which are
-    compared by 128-bit hash with a pre-aggregated minimum (windows inside a settled context are left out: the
-    smallest document that has a window never holds it in a settled context). Overlapping repeats merge into maximal runs.
-    Copies of a passage never meet in pairs: each key keeps its smallest document only.
+    their anchor; about a fifth of the words start one. A first pass counts anchors with map-side minima and keeps
+    those of several documents; only their seeds go on, each with a hash of the context to both sides within reach of a
+    window. Extend: where that whole context already stood in a smaller document, all windows around the anchor are
+    repeats; this settles the inside of long repeats without comparing pairs of documents. Only seeds of anchors with
+    several contexts stay open, mostly at ends of repeats: they spell out their windows, which are compared by
+    128-bit hash with a pre-aggregated minimum (windows inside a settled context are left out: the smallest document
+    that has a window never holds it in a settled context). Overlapping repeats merge into maximal runs.
+    Copies of a passage never meet in pairs: each key keeps its smallest document only, and rows of a common
+    anchor, context or window take its minimum from a broadcast, so they never meet in one task.
     """
     if length <= ANCHOR or length > 40:
         raise ValueError(f"length must be {ANCHOR + 1} to 40")
     base = texts(docs, id_col, text_col)
     known = base.where("doc_id is not null")
-    marks = cut(_marks(known, length, partitions(docs.sparkSession)), release=True)
+    marks = cut(_marks(known, length))
+    limit = max(1.0, (marks.agg(F.sum(F.size("opened"))).first()[0] or 0) * (length - ANCHOR + 1) * HOT_SHARE)
     # the three joins below read one shuffle of the texts
     opened = known.join(marks.where("size(opened) > 0"), "doc_id")
     windows = opened.select("doc_id", "text", "covered", "opened").mapInArrow(_windowed(length), "doc_id long, pos int, w1 long, w2 long")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
-    again = windows.join(first, ["w1", "w2"]).where("least < doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("windows"))
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+    again = join_split(windows, first, ["w1", "w2"], "n", limit, F.col("doc_id")).where("least < doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("windows"))
     judged = known.join(marks.select("doc_id", "covered"), "doc_id", "left").join(again, "doc_id", "left")
     spared = base.where("doc_id is null").withColumns({c: F.lit(None).cast("array<int>") for c in ("covered", "windows")})
     return judged.unionByName(spared).select("doc_id", "text", "covered", "windows").mapInArrow(
         _kept(length, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
 
 
-def _marks(known: DataFrame, length: int, n: int) -> DataFrame:
+def _marks(known: DataFrame, length: int) -> DataFrame:
     """Per document with shared anchors, positions of covered and of opened seeds: doc_id, covered, opened."""
-    by_context, by_anchor = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
-    seeds = (
-        known.mapInArrow(_anchored(length), "doc_id long, pos int, rest array<int>, anchor long, context long")
-        .repartition(n, "anchor").sortWithinPartitions("anchor", "context")
-        .withColumn("same", F.min("doc_id").over(by_context))
-        .withColumn("least", F.min("doc_id").over(by_anchor))
-        .withColumn("open", F.max(F.expr("same = doc_id and least < doc_id")).over(by_anchor))
-        .where("same < doc_id or open")
-        .select("doc_id", F.explode(F.expr("concat(array(pos), coalesce(rest, array()))")).alias("pos"), F.expr("same < doc_id").alias("done"))
-    )
-    return seeds.groupBy("doc_id").agg(
+    anchors = known.mapInArrow(_anchored(length, anchors_only=True), "doc_id long, anchor long")
+    shared = cut(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n"))
+    limit = max(1.0, (shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE)
+    seeds = known.mapInArrow(_anchored(length), "doc_id long, pos int, rest array<int>, anchor long, context long")
+    own = F.xxhash64("doc_id", "pos")
+    live = cut(join_split(seeds, shared, ["anchor"], "n", limit, own))
+    context = live.groupBy("anchor", "context").agg(F.min("doc_id").alias("same"), F.count("*").alias("n"))
+    # an anchor is open if some context of it first stands in another document than the anchor itself
+    open_ = context.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("anchor", "n", F.lit(True).alias("open"))
+    seen = join_split(join_split(live, context, ["anchor", "context"], "n", limit, own), open_, ["anchor"], "n", limit, own, "left")
+    seen = seen.where("same < doc_id or open").select("doc_id", F.explode(F.expr("concat(array(pos), coalesce(rest, array()))")).alias("pos"), F.expr("same < doc_id").alias("done"))
+    return seen.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("done"), F.col("pos"))).alias("covered"), F.collect_list(F.when(~F.col("done"), F.col("pos"))).alias("opened"))
