@@ -53,6 +53,10 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[bytes, int, bytes]] = {}
 
+    def ids_are_ranks(self) -> bool:
+        """Whether a lower id always merges first, so that ids can serve as ranks."""
+        return bool((np.diff(self._merged) > 0).all())
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair of neighbours, _NONE where they do not merge."""
         key = a.astype(np.int64) << 32 | b

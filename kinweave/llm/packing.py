@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,41 +14,49 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices, texts
+from .bpe import PATTERN, Bpe
+from .common import cut, parts_for, slices, texts
 
-#: The pre-tokenising pattern of the byte-level vocabulary and its special token.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the special string that a file of ranks leaves out.
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_file: str) -> tiktoken.Encoding:
-    with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def token_ids(enc: tiktoken.Encoding, text: str, special_id: int) -> list[int]:
+def encoder(path: str, special_id: int) -> tuple[tiktoken.Encoding, dict[str, int]]:
+    """Encoding and special strings of a vocabulary: a tokenizers file, whose ids must follow the order of its merges, or a
+    file of ranks, which names no special string."""
+    if path.endswith(".json"):
+        v = Bpe(path)
+        if not v.ids_are_ranks():
+            raise ValueError(f"ids of {path} do not follow its merges")
+        special = v.special
+        ranks = {b: i for i, b in v.bytes_of.items() if i not in special.values()}
+    else:
+        special = {SPECIAL: special_id}
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
+
+def token_ids(enc: tiktoken.Encoding, text: str, special: dict[str, int]) -> list[int]:
     """Ids of a whole text; a special string inside it is one id, as the tokenizers library has it by default."""
-    if SPECIAL not in text:
+    if not any(s in text for s in special):
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for i, part in enumerate(text.split(SPECIAL)):
-        if i:
-            ids.append(special_id)
-        ids += enc.encode_ordinary(part)
+    for part in re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text):
+        ids += [special[part]] if part in special else enc.encode_ordinary(part)
     return ids
 
 
 def _pieces(ranks_file: str, special_id: int, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_file)
+        enc, special = encoder(ranks_file, special_id)
         for batch in batches:
             for part in slices(batch):
                 out: list[tuple] = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.array([*token_ids(enc, text or "", special_id), end_id], dtype="<u4")
+                    ids = np.array([*token_ids(enc, text or "", special), end_id], dtype="<u4")
                     raw, n = ids.tobytes(), len(ids)
                     out += ((doc, at, min(capacity, n - at), zlib.crc32(raw[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -110,7 +119,7 @@ def pack(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text_col: str
 
     Each document is its ids and end_id after them (a null or empty text: end_id alone). It is cut every `capacity`
     ids; the last piece is shorter. Pieces fill sequences of at most `capacity` ids, gapless from 0; every id is in
-    one piece. Rows with a null id are packed too and show a null doc_id. Repeated rows are separate documents.
+    one piece. ranks_file is a tokenizers file (its special strings hold) or a file of ranks (`special_id` is that of SPECIAL). Rows with a null id are packed too and show a null doc_id. Repeated rows are separate documents.
     Pieces of equal length are interchangeable and take their rank by (id, start, crc). An empty table gives no
     pieces. Other columns of docs are not read.
 
@@ -121,7 +130,7 @@ def pack(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     base = texts(docs, id_col, text_col)
-    salts = 4 * partitions(spark)
+    salts = 4 * parts_for(spark, 0, 1)
     pieces = cut(base.mapInArrow(_pieces(ranks_file, special_id, end_id, capacity), PIECES)
                  .withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")))
     counts = cut(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")))
