@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import HOT_SHARE, cut, join_split
 
 #: Columns of an event. role is "call" or "result" for tool traffic, anything else for plain messages.
 EVENT = ("conv_id", "turn", "item", "role", "name", "call_id", "text", "arguments")
-#: JSON types of a schema and the variant types they admit.
-TYPES = {"string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "array": "ARRAY.*", "object": "OBJECT.*"}
 
 
 def events_from_messages(messages: DataFrame) -> DataFrame:
@@ -35,33 +35,93 @@ def events_from_messages(messages: DataFrame) -> DataFrame:
     return plain.unionByName(call).unionByName(result)
 
 
+def one_form(json: Column) -> Column:
+    """JSON text whose numbers have one form: no exponent, no fraction of zeros, exact up to 20 digits before and 18 after the
+    point; beyond that the nearest double's own form. Strings, order and white space stay; so does what is no JSON number."""
+    token = r'"(?:[^"\\]|\\.)*+"?|-?[0-9][0-9.eE+-]*+|[^"0-9-]++|-'
+
+    def form(t: Column) -> Column:
+        number = t.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$")
+        exact, near = t.try_cast("decimal(38,18)"), t.try_cast("double")
+        plain = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        # an exact value that has no exponent comes as decimal text; others print their zero padding as 0E-18
+        plain = F.when(exact == 0, "0").otherwise(plain)
+        return F.when(number & t.rlike("[.eE]"), F.when(exact.cast("double") == near, plain).otherwise(near.cast("string"))).otherwise(t)
+
+    rewritten = F.array_join(F.transform(F.regexp_extract_all(json, F.lit(token), F.lit(0)), lambda t: F.when(t.rlike("^-?[0-9]"), form(t)).otherwise(t)), "")
+    return F.when(json.rlike("[0-9][.eE]"), rewritten).otherwise(json)
+
+
+#: JSON types and the variant types they admit. A number that is whole is an integer, whatever its size.
+TYPES = {"string": "STRING", "boolean": "BOOLEAN", "integer": r"BIGINT|DECIMAL\([0-9]+,0\)", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
+#: Keywords that say nothing about validity.
+SILENT = {"title", "description", "default", "examples", "$schema", "$id"}
+BOUNDS = {"minimum": lambda x, y: x >= y, "maximum": lambda x, y: x <= y, "exclusiveMinimum": lambda x, y: x > y, "exclusiveMaximum": lambda x, y: x < y}
+SIZES = {"minLength": lambda x, y: x >= y, "maxLength": lambda x, y: x <= y, "minItems": lambda x, y: x >= y, "maxItems": lambda x, y: x <= y}
+
+
+def _canonical_literal(value: object) -> str:
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def fits(v: Column, schema: Mapping) -> Column:
+    """Whether a variant fits a JSON schema: type (one or a list), enum, const, properties, required, additionalProperties (a
+    truth value or a schema), items, minItems, maxItems, minimum, maximum, their exclusive forms, minLength, maxLength,
+    pattern; nested at any depth. Another keyword raises ValueError. Keywords of one type let other types pass."""
+    kind = F.schema_of_variant(v)
+    of = lambda t: kind.rlike(f"^(?:{TYPES[t]})$")
+    rules = [F.lit(True)]
+    for word, x in schema.items():
+        if word == "type":
+            rules.append(kind.rlike("^(?:" + "|".join(TYPES[t] for t in ([x] if isinstance(x, str) else x)) + ")$"))
+        elif word in ("enum", "const"):
+            rules.append(F.to_json(v).isin(*map(_canonical_literal, x if word == "enum" else [x])))
+        elif word == "required":
+            rules.append(~of("object") | (F.size(F.array_except(F.array(*map(F.lit, x)).cast("array<string>"), F.map_keys(_members(v)))) == 0))
+        elif word == "properties":
+            for name, sub in x.items():
+                part = F.try_element_at(_members(v), F.lit(name))
+                rules.append(~of("object") | ~F.array_contains(F.map_keys(_members(v)), name) | F.coalesce(fits(part, sub), F.lit(False)))
+        elif word == "additionalProperties":
+            known = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
+            if x is False:
+                rules.append(~of("object") | (F.size(F.array_except(F.map_keys(_members(v)), known)) == 0))
+            elif x is not True:
+                rules.append(~of("object") | F.forall(F.map_entries(_members(v)), lambda e: F.array_contains(known, e["key"]) | F.coalesce(fits(e["value"], x), F.lit(False))))
+        elif word == "items":
+            rules.append(~of("array") | F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.coalesce(fits(e, x), F.lit(False))))
+        elif word in BOUNDS:
+            rules.append(~of("number") | BOUNDS[word](F.try_variant_get(v, "$", "double"), F.lit(float(x))))
+        elif word in SIZES:
+            kind_, size = ("string", F.char_length(F.try_variant_get(v, "$", "string"))) if word.endswith("Length") else ("array", F.size(F.try_variant_get(v, "$", "array<variant>")))
+            rules.append(~of(kind_) | SIZES[word](size, F.lit(x)))
+        elif word == "pattern":
+            rules.append(~of("string") | F.try_variant_get(v, "$", "string").rlike(x))
+        elif word not in SILENT:
+            raise ValueError(f"unknown schema keyword {word!r}")
+    return reduce(lambda p, q: p & q, rules)
+
+
+def _members(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def arguments_valid(name: Column, arguments: Column, schemas: Mapping[str, Mapping]) -> Column:
-    """Whether arguments are a JSON object that fits the tool's schema {"properties": {key: {"type", "enum"}},
-    "required": [...], "additionalProperties": bool}. Unknown tools, nulls and malformed JSON are not valid."""
-    v = F.try_parse_json(arguments)
-    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
+    """Whether arguments are a JSON object that fits the tool's schema, see fits(). Unknown tools, nulls and malformed JSON,
+    to which objects with a repeated key count, are not valid."""
+    v = F.try_parse_json(one_form(arguments))
     out = F.lit(False)
     for tool, schema in sorted(schemas.items()):
-        ok = F.schema_of_variant(v).rlike("^OBJECT")
-        for key in schema.get("required", ()):
-            ok = ok & F.array_contains(keys, key)
-        for key, rule in schema.get("properties", {}).items():
-            part = F.try_variant_get(v, f"$.{key}", "variant")
-            fits = F.lit(True)
-            if "type" in rule:
-                fits = F.schema_of_variant(part).rlike(f"^(?:{TYPES[rule['type']]})$")
-            if "enum" in rule:
-                fits = fits & F.try_variant_get(v, f"$.{key}", "string").isin(*map(str, rule["enum"]))
-            ok = ok & (~F.array_contains(keys, key) | fits)
-        if not schema.get("additionalProperties", True):
-            ok = ok & (F.size(F.array_except(keys, F.array(*map(F.lit, schema.get("properties", {}))))) == 0)
+        ok = F.schema_of_variant(v).rlike("^OBJECT") & fits(v, schema)
         out = F.when(name == tool, F.coalesce(ok, F.lit(False))).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
 def canonical(json: Column) -> Column:
-    """JSON text with sorted keys and no spaces; null where it is malformed."""
-    return F.to_json(F.try_parse_json(json))
+    """JSON text with sorted keys, one form of numbers and no spaces; null where it is malformed."""
+    return F.to_json(F.try_parse_json(one_form(json)))
 
 
 def format_chat(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
@@ -77,18 +137,21 @@ def format_chat(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     name for calls; content, tool_call_id for results. Null texts are JSON nulls. Rows with a null conv_id or turn stay, unlinked.
     Repeated rows stay; ids they share are owned once. Empty tables give empty results.
 
-    Plan: calls and results meet in a hash join on (conv_id, call_id), pre-aggregated to one owner per id. A
-    conversation is never gathered, so its length does not matter; rows carry their order. Only events in $ref or
-    out-of-turn chains enter the rounds of topological ordering, one join each.
+    Plan: calls and results meet in a hash join on (conv_id, call_id), pre-aggregated to one owner per id; ids of many rows are
+    split, and so are the rows of one conversation that have no id. A conversation is never gathered, so its length does
+    not matter; rows carry their order. Only conversations in which some call waits for a later result enter the
+    rounds of topological ordering, one join each, and only from their first such call on.
     """
     e = events.select(*EVENT).withColumn("kind", F.when(F.col("role").isin("call", "result"), F.col("role")).otherwise("message"))
-    owner = e.where("kind = 'call' and call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(
-        F.min(F.struct("turn", "item")).alias("own"))
-    answered = e.where("kind = 'result' and call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"))
-    pairs = owner.join(answered, ["conv_id", "call_id"], "left")
-    e = e.join(pairs, ["conv_id", "call_id"], "left")
+    named = e.where("kind <> 'message' and call_id is not null and conv_id is not null")
+    mine, result = F.when(F.col("kind") == "call", F.struct("turn", "item")), F.when(F.col("kind") == "result", F.col("turn"))
+    pairs = named.groupBy("conv_id", "call_id").agg(F.min(mine).alias("own"), F.min(result).alias("result_turn"), F.count_if(F.col("kind") == "result").alias("results"), F.count("*").alias("n"))
+    pairs = pairs.where("own is not null").withColumn("result_turn", F.when(F.col("results") > 0, F.col("result_turn"))).drop("results")
+    limit = max(1.0, events.count() * HOT_SHARE)
+    e = join_split(e, pairs, ["conv_id", "call_id"], "n", limit, F.xxhash64("conv_id", "turn", "item", "text"), "left")
     mine = F.struct("turn", "item").eqNullSafe(F.col("own"))
-    linked = F.when(F.col("kind") == "call", mine & F.col("result_turn").isNotNull()).when(F.col("kind") == "result", F.col("own").isNotNull())
+    answered = F.col("own").isNotNull() & F.col("result_turn").isNotNull()
+    linked = F.when(F.col("kind") == "call", mine & answered).when(F.col("kind") == "result", F.col("own").isNotNull())
     e = e.withColumns({
         "linked": F.coalesce(linked, F.when(F.col("kind") != "message", False)),
         "valid": F.when(F.col("kind") == "call", arguments_valid(F.col("name"), F.col("arguments"), schemas)),
@@ -96,7 +159,7 @@ def format_chat(events: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     levels = _order(e)
     late = F.when((F.col("kind") == "result") & F.col("own").isNotNull() & (F.col("own.turn") >= F.col("turn")), F.col("own.turn"))
     if levels is not None:
-        e = e.join(levels, ["conv_id", "call_id"], "left")
+        e = join_split(e, levels, ["conv_id", "call_id"], "n", limit, F.xxhash64("conv_id", "turn", "item", "text"), "left")
         call_turn, call_level, cyclic = F.coalesce("ref_turn", "own.turn"), F.coalesce("ref_level", F.lit(0)), F.coalesce("in_cycle", F.lit(False))
         own_call = (F.col("kind") == "call") & mine
         order_turn = F.when(own_call, call_turn).when(F.col("kind") == "result", F.greatest("turn", F.coalesce(call_turn, "turn"))).otherwise(F.col("turn"))
@@ -122,20 +185,28 @@ def _quoted(name: str) -> Column:
 
 
 def _order(e: DataFrame) -> DataFrame | None:
-    """(conv_id, call_id, ref_turn, ref_level, in_cycle) for owned calls in chains of $ref, or None without any.
+    """(conv_id, call_id, ref_turn, ref_level, in_cycle, n) for owned calls whose place chains of $ref may change, or None
+    without any; n is the number of rows with that id.
 
-    Rounds take the calls whose references are all settled; what is never settled waits in a cycle.
+    A reference to a call whose result stands before is met by the turns as they are. Where one is not, the calls of
+    that conversation from there on go through rounds that take the calls whose references are all settled; what is
+    never settled waits in a cycle.
     """
-    refs = e.where("kind = 'call' and arguments is not null and conv_id is not null").where(F.col("arguments").contains("$ref")).where(
-        F.struct("turn", "item").eqNullSafe(F.col("own"))).select(
+    owned = F.struct("turn", "item").eqNullSafe(F.col("own"))
+    refs = e.where("kind = 'call' and arguments is not null and conv_id is not null").where(F.col("arguments").contains("$ref")).where(owned).select(
         "conv_id", "call_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref"\s*:\s*"([^"]+)"'), F.lit(1)))).alias("needs"))
-    targets = e.where("kind = 'call' and conv_id is not null").where(F.struct("turn", "item").eqNullSafe(F.col("own"))).select(
+    targets = e.where("kind = 'call' and conv_id is not null").where(owned).select(
         "conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"), "result_turn").distinct()
-    edges = cut(refs.distinct().join(targets, ["conv_id", "needs"]))
+    edges = refs.distinct().join(targets, ["conv_id", "needs"]).withColumn("unmet", F.greatest("needs_turn", F.coalesce("result_turn", "needs_turn")) >= F.col("turn"))
+    edges = cut(edges)
+    start = edges.groupBy("conv_id").agg(F.min(F.when(F.col("unmet"), F.least("turn", "needs_turn"))).alias("start"), F.count("*").alias("n")).where("start is not null")
+    edges = cut(join_split(edges, start, ["conv_id"], "n", max(1.0, edges.count() * HOT_SHARE), F.xxhash64("call_id", "needs")).where("turn >= start").drop("unmet"))
     if edges.isEmpty():
         return None
-    nodes = edges.select("conv_id", "call_id", "turn").unionByName(edges.select("conv_id", F.col("needs").alias("call_id"), F.col("needs_turn").alias("turn"))).distinct()
-    first = nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
+    before = F.col("needs_turn") < F.col("start")
+    nodes = edges.select("conv_id", "call_id", "turn").unionByName(edges.where(~before).select("conv_id", F.col("needs").alias("call_id"), F.col("needs_turn").alias("turn"))).distinct()
+    settled = edges.where(before).select("conv_id", F.col("needs").alias("call_id"), F.col("needs_turn").alias("turn")).distinct()
+    first = nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").unionByName(settled)
     done = cut(first.select("conv_id", "call_id", F.col("turn").alias("ref_turn"), F.lit(0).alias("ref_level")))
     before = -1
     while (now := done.count()) != before:
@@ -149,5 +220,7 @@ def _order(e: DataFrame) -> DataFrame | None:
         late = F.col("after.t") >= F.col("turn")
         done = cut(done.unionByName(ready.select("conv_id", "call_id", F.greatest("turn", "after.t").alias("ref_turn"), F.when(late, F.col("after.l") + 1).otherwise(0).alias("ref_level"))))
     stuck = nodes.join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-    return done.withColumn("in_cycle", F.lit(False)).unionByName(
+    placed = done.withColumn("in_cycle", F.lit(False)).unionByName(
         stuck.select("conv_id", "call_id", F.col("turn").alias("ref_turn"), F.lit(0).alias("ref_level"), F.lit(True).alias("in_cycle")))
+    size = e.where("own is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
+    return placed.join(size, ["conv_id", "call_id"])
