@@ -17,7 +17,8 @@ from .common import slices, texts
 
 #: Fixed value: the pre-tokenising pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of up to SHORT bytes are merged in rank arrays, longer ones with a heap. A worker caches CACHE words.
+#: Words of up to SHORT bytes are merged in rank arrays, longer ones with a heap. A worker caches the first CACHE words it
+#: meets, in which common words are; nothing is evicted.
 SHORT, CACHE = 48, 120_000
 _NONE = np.int32(2**31 - 1)
 
