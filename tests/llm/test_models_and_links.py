@@ -202,7 +202,7 @@ def test_pipeline(spark, tmp_path):
         best[lower(t)] = max(i, best.get(lower(t), i))
     ids = sorted(best.values())
     sets = [shingles(rows[i]) for i in ids]
-    links = [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     ids = sorted({ids[r] for r in roots(len(ids), links)})
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.no_truncation()
