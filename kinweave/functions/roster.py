@@ -17,37 +17,77 @@ from kinweave.functions.text import APOSTROPHES, carries_name, mentions_name, no
 URL = re.compile(r"https?://[^\s<>\"')]+", re.IGNORECASE)
 BARE = re.compile(r"(?<![\w@./-])((?:[a-z0-9][a-z0-9-]{0,61}\.)+[a-z]{2,24})(?![\w-])(/[^\s<>\"')\]]*)?", re.IGNORECASE)
 #: Endings under which a host in prose counts.
-TLDS = frozenset("""com org net edu gov int mil info biz name pro io co ai dev app me xyz blog news tech site online page link email
-    press wiki space world today club life live media studio design works team company ventures capital fund group network house
-    systems codes one cloud digital agency consulting institute foundation academy school eu uk us ca au nz de fr nl es it se no dk
-    fi ie pt pl cz at ch be gr il za sg hk jp kr in br mx ar cl ru tr ua tv fm gg ly to sh is cc st so re am""".split())
+TLDS = frozenset((
+    "academy", "agency", "ai", "am", "app", "ar", "at", "au", "be", "biz", "blog", "br", "ca", "capital", "cc", "ch", "cl", "cloud", "club", "co",
+    "codes", "com", "company", "consulting", "cz", "de", "design", "dev", "digital", "dk", "edu", "email", "es", "eu", "fi", "fm", "foundation", "fr",
+    "fund", "gg", "gov", "gr", "group", "hk", "house", "ie", "il", "in", "info", "institute", "int", "io", "is", "it", "jp", "kr", "life", "link",
+    "live", "ly", "me", "media", "mil", "mx", "name", "net", "network", "news", "nl", "no", "nz", "one", "online", "org", "page", "pl", "press", "pro",
+    "pt", "re", "ru", "school", "se", "sg", "sh", "site", "so", "space", "st", "studio", "systems", "team", "tech", "to", "today", "tr", "tv", "ua",
+    "uk", "us", "ventures", "wiki", "works", "world", "xyz", "za",
+))
 #: Hosts where an address names a page, never a person.
-SHARED_HOSTS = tuple("""about.me angel.co behance.net blogspot.com bsky.app crunchbase.com dribbble.com facebook.com gitlab.com
-    github.com github.io instagram.com linkedin.com medium.com mastodon.social notion.site patreon.com reddit.com sites.google.com
-    soundcloud.com stackoverflow.com substack.com threads.net tumblr.com twitter.com vimeo.com wordpress.com x.com youtube.com""".split())
+SHARED_HOSTS = (
+    "about.me", "angel.co", "behance.net", "blogspot.com", "bsky.app", "crunchbase.com", "dribbble.com", "facebook.com", "github.com", "github.io",
+    "gitlab.com", "instagram.com", "linkedin.com", "mastodon.social", "medium.com", "notion.site", "patreon.com", "reddit.com", "sites.google.com",
+    "soundcloud.com", "stackoverflow.com", "substack.com", "threads.net", "tumblr.com", "twitter.com", "vimeo.com", "wordpress.com", "x.com",
+    "youtube.com",
+)
 #: Names and postal codes of the states that mark an address.
-STATES = frozenset("""alabama,alaska,arizona,arkansas,california,colorado,connecticut,delaware,district of columbia,florida,georgia,hawaii,
-    idaho,illinois,indiana,iowa,kansas,kentucky,louisiana,maine,maryland,massachusetts,michigan,minnesota,mississippi,missouri,montana,
-    nebraska,nevada,new hampshire,new jersey,new mexico,new york,north carolina,north dakota,ohio,oklahoma,oregon,pennsylvania,
-    rhode island,south carolina,south dakota,tennessee,texas,utah,vermont,virginia,washington,west virginia,wisconsin,wyoming,
-    al,ak,az,ar,ca,co,ct,dc,de,fl,ga,hi,ia,id,il,in,ks,ky,la,ma,md,me,mi,mn,mo,ms,mt,nc,nd,ne,nh,nj,nm,nv,ny,oh,ok,or,pa,ri,sc,sd,
-    tn,tx,ut,va,vt,wa,wi,wv,wy""".replace("\n    ", "").split(","))
-#: Roles that are no organisation, more of them for queries, and words that glue a role together.
-ROLES = frozenset("""advisor,analyst,board,board member,ceo,cfo,chair,chairman,chief,co-founder,cofounder,coo,cto,director,engineer,founder,
-    gp,head,investor,lead,manager,member,partner,president,principal,professor,researcher,scientist,svp,vp""".replace("\n    ", "").split(","))
-MORE_ROLES = frozenset("""architect artist associate author blogger chairperson chairwoman cio cmo consultant cro editor entrepreneur evp
-    executive fellow general journalist managing md officer operator owner staff trustee writer""".split())
-GLUE = frozenset("""a acting an and at briefly co current currently deputy emeritus ex for former formerly global in interim junior of
-    senior the with &""".split())
+STATES = frozenset((
+    "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "district of columbia", "florida", "georgia",
+    "hawaii", "idaho", "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan", "minnesota",
+    "mississippi", "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey", "new mexico", "new york", "north carolina",
+    "north dakota", "ohio", "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee", "texas", "utah",
+    "vermont", "virginia", "washington", "west virginia", "wisconsin", "wyoming", "ak", "al", "ar", "az", "ca", "co", "ct", "dc", "de", "fl", "ga", "hi",
+    "ia", "id", "il", "in", "ks", "ky", "la", "ma", "md", "me", "mi", "mn", "mo", "ms", "mt", "nc", "nd", "ne", "nh", "nj", "nm", "nv", "ny", "oh", "ok",
+    "or", "pa", "ri", "sc", "sd", "tn", "tx", "ut", "va", "vt", "wa", "wi", "wv", "wy",
+))
+#: Roles that are no organisation.
+ROLES = frozenset((
+    "advisor", "analyst", "board", "board member", "ceo", "cfo", "chair", "chairman", "chief", "co-founder", "cofounder", "coo", "cto", "director",
+    "engineer", "founder", "gp", "head", "investor", "lead", "manager", "member", "partner", "president", "principal", "professor", "researcher",
+    "scientist", "svp", "vp",
+))
+#: Further roles that make no query.
+MORE_ROLES = frozenset((
+    "architect", "artist", "associate", "author", "blogger", "chairperson", "chairwoman", "cio", "cmo", "consultant", "cro", "editor", "entrepreneur",
+    "evp", "executive", "fellow", "general", "journalist", "managing", "md", "officer", "operator", "owner", "staff", "trustee", "writer",
+))
+#: Words that glue a role together.
+GLUE = frozenset((
+    "&", "a", "acting", "an", "and", "at", "briefly", "co", "current", "currently", "deputy", "emeritus", "ex", "for", "former", "formerly", "global",
+    "in", "interim", "junior", "of", "senior", "the", "with",
+))
+#: Fixed value: words before a role that say when it was held.
 QUALIFIER = re.compile(r"^(?:(?:acting|briefly|current|currently|ex|former|formerly|interim) +)+(?=\S)", re.IGNORECASE)
-#: Fixed values for the resolver: suffixes of organisations, negations, and the length from which a word is distinctive.
-SUFFIXES = frozenset("co inc corp corporation ltd llc plc gmbh ab as the".split())
-NEGATIONS = frozenset("not never nor isnt arent wasnt werent dont".split())
-ROLE_TOKENS = frozenset(w for w in ROLES | MORE_ROLES if w.isalnum() and w != "board")
-ROLE_GLUE = (GLUE - {"&"}) | {"board"}
+#: Suffixes of organisations.
+SUFFIXES = frozenset((
+    "ab", "as", "co", "corp", "corporation", "gmbh", "inc", "llc", "ltd", "plc", "the",
+))
+#: Negations.
+NEGATIONS = frozenset((
+    "arent", "dont", "isnt", "never", "nor", "not", "wasnt", "werent",
+))
+#: Single words that are roles to the resolver.
+ROLE_TOKENS = frozenset((
+    "advisor", "analyst", "architect", "artist", "associate", "author", "blogger", "ceo", "cfo", "chair", "chairman", "chairperson", "chairwoman",
+    "chief", "cio", "cmo", "cofounder", "consultant", "coo", "cro", "cto", "director", "editor", "engineer", "entrepreneur", "evp", "executive",
+    "fellow", "founder", "general", "gp", "head", "investor", "journalist", "lead", "manager", "managing", "md", "member", "officer", "operator",
+    "owner", "partner", "president", "principal", "professor", "researcher", "scientist", "staff", "svp", "trustee", "vp", "writer",
+))
+#: Words that glue a role together for the resolver.
+ROLE_GLUE = frozenset((
+    "a", "acting", "an", "and", "at", "board", "briefly", "co", "current", "currently", "deputy", "emeritus", "ex", "for", "former", "formerly",
+    "global", "in", "interim", "junior", "of", "senior", "the", "with",
+))
+#: Fixed value: what reads as an address on the web.
 WEB = re.compile(r"https?://|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?:com|org|net|edu|gov|io|co|ai|dev|app|me|xyz|blog|news|tech|info|biz|so|to)\b", re.IGNORECASE)
+#: The length from which a word is distinctive, queries per person, separators of a role and its organisation.
 DISTINCTIVE, MAX_QUERIES = 4, 3
 SEPARATORS = (" at ", ", ", " of ", " @ ")
+#: Where a line, or a phrase of the resolver, is split.
+SPLITS = r"\s+(?:of|at|for|with)\s+|,\s*|\s+[|@]\s+"
+PHRASE_SPLITS = r"\s+(?:of|at|for|with|and)\s+|\s*[,/&|@]\s*"
 
 
 def _plain(s: str) -> str:
@@ -79,7 +119,7 @@ def affiliations(detail: str) -> list[str]:
     for clause in detail.split(";"):
         if addresses(clause):
             continue
-        for part in re.split(r"\s+(?:of|at|for|with)\s+|,\s*|\s+[|@]\s+", clause.strip(), flags=re.IGNORECASE):
+        for part in re.split(SPLITS, clause.strip(), flags=re.IGNORECASE):
             phrase = QUALIFIER.sub("", part.strip(" .;:-"))
             if len(phrase) > 2 and phrase.lower() not in ROLES and any(map(str.isalpha, phrase)):
                 out[phrase] = None
@@ -117,7 +157,7 @@ def _groups(detail: str) -> list[list[str]]:
             continue
         inner = [x for x in re.findall(r"\(([^)]*)\)", clause) if len(_words(x)) == 1]
         for part in [re.sub(r"\([^)]*\)", " ", clause), *inner]:
-            for phrase in re.split(r"\s+(?:of|at|for|with|and)\s+|\s*[,/&|@]\s*", part, flags=re.IGNORECASE):
+            for phrase in re.split(PHRASE_SPLITS, part, flags=re.IGNORECASE):
                 words = [w for w in _words(phrase) if w not in SUFFIXES and w not in ROLE_GLUE]
                 if words not in out and any(len(w) >= DISTINCTIVE and w not in ROLE_TOKENS for w in words):
                     out.append(words)

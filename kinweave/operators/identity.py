@@ -98,7 +98,8 @@ def accepted_documents(resolutions: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def claimed(text: Column, label: str) -> Column:
-    """What `label: value` claims, up to a full stop, the line's end or the next label; null where missing or unset."""
+    """What `label: value` claims, up to a full stop, the line's end or the next label; null where missing or unset. Fixed
+    values: the two patterns."""
     value = F.regexp_extract(text, rf"(?i)\b{label}\s*:\s*([^\n.]*)", 1)
     value = F.trim(F.regexp_replace(value, rf"(?i)\s+\b(?:{'|'.join(LABELS)})\s*:.*$", ""))
     return F.when(~F.trim(normalize_ws(value), F.lit(" .")).isin(*UNSET), value)
