@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, join_split
+from .common import HOT_SHARE, cut, join_split, let
 
 #: Columns of an event. role is "call" or "result" for tool traffic, anything else for plain messages.
 EVENT = ("conv_id", "turn", "item", "role", "name", "call_id", "text", "arguments")
@@ -70,7 +70,12 @@ def fits(v: Column, schema: Mapping) -> Column:
     """Whether a variant fits a JSON schema: type (one or a list), enum, const, properties, required, additionalProperties (a
     truth value or a schema), items, minItems, maxItems, minimum, maximum, their exclusive forms, minLength, maxLength,
     pattern; nested at any depth. Another keyword raises ValueError. Keywords of one type let other types pass."""
-    kind = F.schema_of_variant(v)
+    wide = {"required", "properties", "additionalProperties"} & set(schema)
+    inner = lambda v: let(F.schema_of_variant(v), lambda kind: let(_members(v), lambda m: _rules(v, kind, m, schema)) if wide else _rules(v, kind, None, schema))
+    return let(v, inner)
+
+
+def _rules(v: Column, kind: Column, members: Column | None, schema: Mapping) -> Column:
     of = lambda t: kind.rlike(f"^(?:{TYPES[t]})$")
     rules = [F.lit(True)]
     for word, x in schema.items():
@@ -79,17 +84,17 @@ def fits(v: Column, schema: Mapping) -> Column:
         elif word in ("enum", "const"):
             rules.append(F.to_json(v).isin(*map(_canonical_literal, x if word == "enum" else [x])))
         elif word == "required":
-            rules.append(~of("object") | (F.size(F.array_except(F.array(*map(F.lit, x)).cast("array<string>"), F.map_keys(_members(v)))) == 0))
+            rules.append(~of("object") | (F.size(F.array_except(F.array(*map(F.lit, x)).cast("array<string>"), F.map_keys(members))) == 0))
         elif word == "properties":
             for name, sub in x.items():
-                part = F.try_element_at(_members(v), F.lit(name))
-                rules.append(~of("object") | ~F.array_contains(F.map_keys(_members(v)), name) | F.coalesce(fits(part, sub), F.lit(False)))
+                part = F.try_element_at(members, F.lit(name))
+                rules.append(~of("object") | ~F.array_contains(F.map_keys(members), name) | F.coalesce(fits(part, sub), F.lit(False)))
         elif word == "additionalProperties":
             known = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
             if x is False:
-                rules.append(~of("object") | (F.size(F.array_except(F.map_keys(_members(v)), known)) == 0))
+                rules.append(~of("object") | (F.size(F.array_except(F.map_keys(members), known)) == 0))
             elif x is not True:
-                rules.append(~of("object") | F.forall(F.map_entries(_members(v)), lambda e: F.array_contains(known, e["key"]) | F.coalesce(fits(e["value"], x), F.lit(False))))
+                rules.append(~of("object") | F.forall(F.map_entries(members), lambda e: F.array_contains(known, e["key"]) | F.coalesce(fits(e["value"], x), F.lit(False))))
         elif word == "items":
             rules.append(~of("array") | F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.coalesce(fits(e, x), F.lit(False))))
         elif word in BOUNDS:
@@ -111,12 +116,13 @@ def _members(v: Column) -> Column:
 def arguments_valid(name: Column, arguments: Column, schemas: Mapping[str, Mapping]) -> Column:
     """Whether arguments are a JSON object that fits the tool's schema, see fits(). Unknown tools, nulls and malformed JSON,
     to which objects with a repeated key count, are not valid."""
-    v = F.try_parse_json(one_form(arguments))
-    out = F.lit(False)
-    for tool, schema in sorted(schemas.items()):
-        ok = F.schema_of_variant(v).rlike("^OBJECT") & fits(v, schema)
-        out = F.when(name == tool, F.coalesce(ok, F.lit(False))).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+    def judged(v: Column) -> Column:
+        out = F.lit(False)
+        for tool, schema in sorted(schemas.items()):
+            out = F.when(name == tool, F.coalesce(F.schema_of_variant(v).rlike("^OBJECT") & fits(v, schema), F.lit(False))).otherwise(out)
+        return F.coalesce(out, F.lit(False))
+
+    return let(F.try_parse_json(one_form(arguments)), judged)
 
 
 def canonical(json: Column) -> Column:

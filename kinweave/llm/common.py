@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators.components import HOT_SHARE, connected_components, cut, join_split
@@ -23,6 +23,11 @@ def ascii_lower(c):
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; Spark computes a repeated expression inside lambdas again each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id long, text). Columns that are already so called stay untouched, which lets Spark recognise equal
     subplans and read one shuffle of the texts several times."""
@@ -85,4 +90,4 @@ def min_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-__all__ = ["HOT_SHARE", "ascii_lower", "connected_components", "cut", "groups", "join_split", "min_labels", "mix64", "parts_for", "slices", "texts"]
+__all__ = ["HOT_SHARE", "ascii_lower", "connected_components", "cut", "groups", "join_split", "let", "min_labels", "mix64", "parts_for", "slices", "texts"]

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
+
 KINDS = ("email", "ip", "card", "phone")
 _ONE = "struct<kind:int,s:int,e:int,m:string>"
 _SPAN = f"array<{_ONE}>"
@@ -46,11 +48,6 @@ _FOR = {
 _AGAINST = r"order|invoice|isbn|version|part|ref|serial|build|ticket|rechnung|bestell|facture|commande|factura|pedido|no\.|nr\.|id\b|page|score|date|room|code"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once; inside lambdas Spark computes a repeated expression again each time."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _scan(items: Column, state: Callable, emit: Callable, out: str) -> Column:
     """All that emit(state, item), an array of `out`, gives for each item in order; the state is an int, 0 at first and
     state(state, item) after an item. A fold copies what it has gathered at every step, so items are gathered in chunks of
@@ -68,7 +65,7 @@ def _scan(items: Column, state: Callable, emit: Callable, out: str) -> Column:
         rows = F.aggregate(chunks, first, lambda acc, c: F.concat(acc, F.array(inner(F.element_at(acc, -1)["st"], c))))
         return F.flatten(F.transform(rows, lambda r: r["out"]))
 
-    return _let(items, whole)
+    return let(items, whole)
 
 
 def _blocks(text: Column) -> Column:
@@ -91,7 +88,7 @@ def _located(text: Column, pattern: str, kind: int) -> Column:
     """All matches as (kind, start, end, match) in code points. Matches and the gaps between them come from the same
     leftmost scan, so running lengths give positions."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = _let(found, lambda f: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(f)), f,
+    steps = let(found, lambda f: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(f)), f,
                                              lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("n"), m.alias("m"))))
     one = lambda pos, x: F.array(F.struct(F.lit(kind).alias("kind"), (pos + x["g"]).alias("s"), (pos + x["g"] + x["n"]).alias("e"), x["m"].alias("m")))
     return _scan(steps, lambda pos, x: pos + x["g"] + x["n"], one, _ONE)
@@ -150,7 +147,7 @@ CONTEXT = 32
 
 def _features(blocks: Column, x: Column) -> Column:
     before = F.lower(_piece(blocks, F.greatest(F.lit(0), x["s"] - CONTEXT), x["s"]))
-    return _let(before, lambda b: _let(_digits(x["m"]), lambda d: _feature_values(x, b, d)))
+    return let(before, lambda b: let(_digits(x["m"]), lambda d: _feature_values(x, b, d)))
 
 
 def _feature_values(x: Column, before: Column, d: Column) -> Column:
@@ -300,7 +297,7 @@ def fit(spark: SparkSession, precision: float = 0.98) -> Trees:
 def _feature_rows(spark: SparkSession, rows: list[tuple[int, str, int]] | None = None) -> tuple:
     df = spark.createDataFrame(rows or sentences(), "n int, text string, y int").repartition(8)
     found = df.withColumn("c", _candidate_spans(F.col("text"), F.lit(True))).select(
-        "n", "y", _let(_blocks(F.col("text")), lambda b: F.transform("c", lambda c: _features(b, c))).alias("f"))
+        "n", "y", let(_blocks(F.col("text")), lambda b: F.transform("c", lambda c: _features(b, c))).alias("f"))
     return tuple((r.n, r.y, tuple(f)) for r in found.orderBy("n").collect() for f in r.f)  # bounded by SENTENCES
 
 
@@ -373,7 +370,7 @@ def _clear(more: Column, base: Column) -> Column:
 def _chosen(blocks: Column, candidates: Column, model: Trees) -> Column:
     """Candidates whose calibrated probability reaches their kind's threshold."""
     limit = F.array(*(F.lit(float(x)) for x in model.thresholds))
-    return _let(blocks, lambda b: F.filter(candidates, lambda c: _let(_features(b, c), model.probability) >= limit[c["kind"]]))
+    return let(blocks, lambda b: F.filter(candidates, lambda c: let(_features(b, c), model.probability) >= limit[c["kind"]]))
 
 
 def _apart(spans: Column) -> Column:
@@ -409,7 +406,7 @@ def redacted(text: Column, spans: Column) -> Column:
                       lambda pos, x: F.when(x["s"] >= pos, F.array(_piece(b, pos, x["s"]), tag[x["kind"]])).otherwise(F.array().cast("array<string>")), "string")
         return F.array_join(F.concat(parts, F.array(_piece(b, last, F.char_length(text)))), "")
 
-    return _let(_blocks(text), whole)
+    return let(_blocks(text), whole)
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", model: Trees | None = None) -> DataFrame:
