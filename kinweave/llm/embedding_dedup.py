@@ -49,8 +49,9 @@ class Index:
         return np.concatenate(out, axis=1)[:, : self.tables].astype(np.int32)
 
     def packed(self, codes: np.ndarray) -> np.ndarray:
-        """Codes in as few bytes as a table's bits need, for Hamming distances over all tables."""
-        return np.ascontiguousarray(codes.astype(np.uint8 if self.bits <= 8 else np.uint16 if self.bits <= 16 else np.uint32)).view(np.uint8)
+        """Codes in as few bytes as a table's bits need, filled up to whole 64-bit words, for Hamming distances over all tables."""
+        b = np.ascontiguousarray(codes.astype(np.uint8 if self.bits <= 8 else np.uint16 if self.bits <= 16 else np.uint32)).view(np.uint8)
+        return np.pad(b, ((0, 0), (0, -b.shape[1] % 8)))
 
     def cells(self, unit: np.ndarray, bits: int) -> np.ndarray:
         """The leading bits of the first rotation, which put vectors that are near each other mostly in one cell."""
@@ -134,7 +135,7 @@ def _visits(reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, low, high), rows in groups(batches, 3):
             side, ids, home = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-            code = np.stack([np.frombuffer(r[3], dtype=np.uint8) for r in rows])
+            code = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
             left = np.flatnonzero(side == low)
             right = left if low == high else np.flatnonzero(side == high)
             out = []
