@@ -46,24 +46,6 @@ def still_cited(facts: DataFrame, docs: DataFrame) -> DataFrame:
     return facts.join(d, ["person_id", "doc_id"], "left").withColumn("cited", F.coalesce(is_cited(F.col("quote"), F.col("__text")), F.lit(False))).drop("__text")
 
 
-def extract(people: DataFrame, docs: DataFrame, fact_candidates: DataFrame, hub_candidates: DataFrame, places: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
-    """The whole stage over everyone at once: (facts, hubs).
-
-    Facts are cited candidates with the category that their source may carry, judged by the exclusion rules. Hubs are
-    collected from facts and documents, merged per person, cut to the budget of fields, rid of those whose evidence is all
-    excluded, and cities give way to a confirmed place. people(person_id, details), docs(person_id, batch_no, doc_id, kind,
-    url, title, text, published_at), the candidates as collect_facts() and collect_hubs() take them (with natural_category).
-    """
-    from kinweave.operators.exclusion import apply_rules, category_for
-
-    where = docs.select("person_id", "doc_id", "kind", "published_at").dropDuplicates(["person_id", "doc_id"])
-    facts = collect_facts(fact_candidates, docs).join(where, ["person_id", "doc_id"], "left")
-    facts = apply_rules(facts.withColumn("category", category_for(F.col("category"), F.col("natural_category"), F.col("kind"))).drop("natural_category"))
-    hubs = merge_hubs(collect_hubs(hub_candidates, facts.select("person_id", "batch_no", "doc_id", "fact_id", "text", "quote"), docs, today))
-    hubs = supported_hubs(field_budget(hubs), facts)
-    return facts, place_hubs(hubs.select("person_id", "hub_id", "label", "type", "recency", "evidence"), places, people, facts, docs, today)
-
-
 def drop_counters(candidates: DataFrame) -> DataFrame:
     """How many candidates each rule would drop, in one pass."""
     text = sentence(F.col("text"))
