@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key. A small compressed file is one split, so that costly columns over it would be one task's work."""
+    return df.repartition(key)
+
+
 def _pick(values: tuple[str, ...], index):
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 

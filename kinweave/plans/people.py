@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import numbers as N
 from kinweave.operators import digest, exclusion, merging, views
 from kinweave.plans.catalogue import query
-from kinweave.plans.fixtures import CATEGORIES, FACTS, KINDS, TODAY, _pick, facts, sql_pick, table
+from kinweave.plans.fixtures import CATEGORIES, FACTS, KINDS, TODAY, _pick, facts, spread, sql_pick, table
 
 #: Invented sentences by customer: what each kind of rule has to tell apart.
 LINES = (
@@ -23,7 +23,7 @@ LINES = (
 
 
 def _sentences(spark, sf_dir):
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey"), F.col("c_custkey")
     return c.select(k.alias("person_id"), F.replace(_pick(LINES, k), F.lit("{}"), F.col("c_name")).alias("text"))
 
 

@@ -174,3 +174,11 @@ def test_rules_read_words_as_other_engines_do(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", exclusion.rule_verdict(F.col("t")).alias("v"))
     assert [(r.v.decision, r.v.reason) for r in sorted(df.collect())] == want
     assert want[0][0] == "exclude" and want[8] == ("exclude", "family")
+
+
+def test_rules_over_one_split_are_dealt_out(spark):
+    """A costly pattern over a small file is no single task's work."""
+    from kinweave.plans import catalogue
+
+    for name in ("taste_rules", "quote_screen", "taste_applied"):
+        assert "REPARTITION_BY_COL" in catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
