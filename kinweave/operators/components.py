@@ -44,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.set(CLEANUP, before)
 
 
+def sorted_joins(df: DataFrame) -> DataFrame:
+    """df, whose joins are to be sort-merge joins, as those of tables that grow with the input must be: Spark takes a small
+    compressed file, or what is left of it, for a small table, and would gather all its rows in the driver to broadcast them."""
+    return df.hint("merge")
+
+
 def join_split(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, limit: float, spread: Column, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with keyed, which has one row per key `on` (the first a long) and says in `count` how many
     rows have it. Keys of over `limit` rows meet by a broadcast; their rows, and rows with a null in their key, take a key of

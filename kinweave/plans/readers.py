@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinweave.plans.catalogue import query
-from kinweave.plans.fixtures import table
+from kinweave.plans.fixtures import spread, table
 from kinweave.sources import connectors
 
 _J = lambda **fields: F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
@@ -14,7 +14,8 @@ _L = lambda x: F.lit(x)
 
 def _people(spark, sf_dir):
     """Every customer as a partner of an atelier with an own site; `echo` is what the sources know of two in three."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.concat(_L("Atelier "), "c_mktsegment").alias("house"))
+    c = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), "c_name", "c_mktsegment"), "person_id")
+    c = c.select("person_id", F.col("c_name").alias("name"), F.concat(_L("Atelier "), "c_mktsegment").alias("house"))
     return c.withColumn("k", F.col("person_id").cast("string")).withColumn("site", F.concat(_L("https://site"), "k", _L(".example.org/"))).withColumn(
         "details", F.array(F.concat(_L("partner, "), "house"), "site")).withColumn("echo", F.when(F.col("person_id") % 3 != 0, F.col("house")).otherwise(_L("nothing")))
 

@@ -19,6 +19,7 @@ from kinweave.functions import markup
 from kinweave.functions import roster as R
 from kinweave.functions.numbers import parse_date
 from kinweave.functions.text import carries_name, clip, deinvert, doc_id, normalize_ws, text_block, unwrap_redirect
+from kinweave.operators.components import sorted_joins
 from kinweave.operators.elections import choose_one
 
 BUDGET, MAX_TITLE, MIN_ENTRY = 8, 300, 40
@@ -135,7 +136,7 @@ def wikidata(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> Dat
     line = F.struct("i", F.concat("reads", F.lit(": "), F.array_join(F.transform("l", lambda x: x["said"]), ", ")).alias("t"))
     per = per.groupBy("person_id", "qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("lines"),
                                               F.flatten(F.transform(F.collect_list("l"), lambda l: F.transform(l, lambda x: x["said"]))).alias("values"))
-    c = c.join(per, ["person_id", "qid"], "left")
+    c = c.join(sorted_joins(per), ["person_id", "qid"], "left")
     hosts = F.transform(F.col("who.urls"), R.raw_host)
     aliases = F.transform(F.coalesce(F.try_element_at(F.col("e.aliases"), F.lit("en")), F.array().cast("array<struct<value:string>>")), lambda a: a["value"])
     own = F.exists(claim_values(F.col("e"), "P856"), lambda v: F.coalesce(F.array_contains(hosts, R.raw_host(v)), F.lit(False)))
@@ -157,13 +158,13 @@ def github(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataF
     a = a.where(R.identifies(F.col("who"), names, prose, urls, context))
     own = F.size(F.filter(urls, lambda x: R.on_own_host(x, F.col("who.urls"))))
     a = a.withColumn("points", R.echoes(F.col("who.terms"), F.concat(context, names, prose)) + 2 * own).withColumn("login", F.col("u.login"))
-    one = a.join(choose_one(a, ["person_id"], "login", "points").select("person_id", F.col("chosen").alias("login")), ["person_id", "login"]).dropDuplicates(["person_id"])
+    one = a.join(sorted_joins(choose_one(a, ["person_id"], "login", "points").select("person_id", F.col("chosen").alias("login"))), ["person_id", "login"]).dropDuplicates(["person_id"])
     profile = _docs(one, "github", [0, 0, 0], F.coalesce(_given(F.col("u.html_url")), F.concat(F.lit("https://github.com/"), "login")),
                     F.concat(F.coalesce(_given(F.col("u.name")), F.col("login")), F.lit(" ("), "login", F.lit(") on GitHub")),
                     text_block(F.concat(F.lit("GitHub profile: "), "login"), F.col("u.name"), _labelled("Company: ", F.col("u.company")), _labelled("Location: ", F.col("u.location")),
                                _labelled("Website: ", F.col("u.blog")), F.col("u.bio"), F.format_string("%d public repositories, %d followers.", F.coalesce("u.public_repos", F.lit(0)), F.coalesce("u.followers", F.lit(0)))),
                     parse_date(F.col("u.created_at")))
-    chosen = one.select("person_id", F.col("login").alias("key"))
+    chosen = sorted_joins(one.select("person_id", F.col("login").alias("key")))
     repo = "struct<html_url:string,full_name:string,name:string,description:string,language:string,stargazers_count:long,pushed_at:string,fork:boolean>"
     r = _each(_said(people, answers, "github", "repos").join(chosen, ["person_id", "key"]), F.from_json("body", f"array<{repo}>")).where("not coalesce(x.fork, false)")
     named = F.coalesce(_given(F.col("x.full_name")), F.col("x.name"))
@@ -192,7 +193,7 @@ def github(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataF
     # events keep their slots: repositories fill what profile and events leave
     taken = events.groupBy("person_id").agg(F.count("*").alias("taken"))
     n = F.row_number().over(Window.partitionBy("person_id").orderBy("at"))
-    repos = repos.where(F.col("url").rlike("^https?://")).withColumn("n", n).join(taken, "person_id", "left").where(F.col("n") <= budget - 1 - F.coalesce("taken", F.lit(0))).drop("n", "taken")
+    repos = repos.where(F.col("url").rlike("^https?://")).withColumn("n", n).join(sorted_joins(taken), "person_id", "left").where(F.col("n") <= budget - 1 - F.coalesce("taken", F.lit(0))).drop("n", "taken")
     return profile.unionByName(repos).unionByName(events)
 
 
@@ -210,14 +211,14 @@ def openalex(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> Dat
     deep = F.coalesce(F.transform(x["affiliations"], lambda y: y["institution"]["display_name"]), F.array().cast("array<string>"))
     topics = F.coalesce(F.flatten(F.transform(x["topics"], lambda y: F.array(*(y[f]["display_name"] for f in ("subfield", "field", "domain"))))), F.array().cast("array<string>"))
     a = a.withColumn("author", short(x["id"])).where(_given(F.col("author")).isNotNull()).withColumn("points", R.echoes(F.col("who.terms"), listed("last_known_institutions"), x["last_known_institution"]["display_name"], listed("affiliations"), deep, listed("x_concepts"), listed("topics"), topics))
-    one = a.join(choose_one(a, ["person_id"], "author", "points").select("person_id", F.col("chosen").alias("author")), ["person_id", "author"]).dropDuplicates(["person_id"])
+    one = a.join(sorted_joins(choose_one(a, ["person_id"], "author", "points").select("person_id", F.col("chosen").alias("author"))), ["person_id", "author"]).dropDuplicates(["person_id"])
     places = F.when(F.size(listed("last_known_institutions")) > 0, listed("last_known_institutions")).otherwise(_texts(x["last_known_institution"]["display_name"]))
     profile = _docs(one, "openalex", [0, 0, 0], F.concat(F.lit("https://openalex.org/"), "author"), F.concat(x["display_name"], F.lit(" — OpenAlex author profile")),
                     text_block(x["display_name"], _labelled("Affiliation: ", F.array_join(places, ", ")), _labelled("Research areas: ", F.array_join(F.slice(F.array_compact(listed("x_concepts")), 1, 6), ", ")),
                                F.format_string("%d works, %d citations.", F.coalesce(x["works_count"], F.lit(0)), F.coalesce(x["cited_by_count"], F.lit(0))), _labelled("ORCID: ", x["orcid"])))
     work = (f"struct<id:string,display_name:string,title:string,abstract:string,abstract_inverted_index:string,doi:string,publication_year:long,publication_date:string,cited_by_count:long,"
             f"primary_location:struct<landing_page_url:string,source:{named}>,authorships:array<struct<author:{named}>>>")
-    w = _each(_said(people, answers, "openalex", "works").join(one.select("person_id", F.col("author").alias("key")), ["person_id", "key"]), F.from_json("body", f"results array<{work}>")["results"])
+    w = _each(_said(people, answers, "openalex", "works").join(sorted_joins(one.select("person_id", F.col("author").alias("key"))), ["person_id", "key"]), F.from_json("body", f"results array<{work}>")["results"])
     title = F.coalesce(_given(x["display_name"]), x["title"])
     url = F.coalesce(_given(x["doi"]), _given(x["primary_location"]["landing_page_url"]), F.concat(F.lit("https://openalex.org/"), _given(short(x["id"]))))
     by = F.array_join(F.transform(x["authorships"], lambda y: y["author"]["display_name"]), ", ")
@@ -289,10 +290,10 @@ def hn(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataFrame
     user, about = F.coalesce(_given(F.col("p.username")), F.col("p.id")), F.col("p.about")
     found = F.transform(F.regexp_extract_all(F.coalesce(about, F.lit("")), F.lit(r"(?i)https?://[^\s<>\"')]+"), F.lit(0)), lambda u: F.regexp_replace(u, "[.,;]+$", ""))
     p = p.where(R.identifies(F.col("who"), _texts(user), _texts(about), found, _texts(about, user))).select("person_id", F.col("key").alias("handle"))
-    one = handles.join(p.distinct(), ["person_id", "handle"]).groupBy("person_id").agg(F.min_by("handle", "o").alias("key"))
+    one = handles.join(sorted_joins(p.distinct()), ["person_id", "handle"]).groupBy("person_id").agg(F.min_by("handle", "o").alias("key"))
     tags = x["_tags"]
     comment = F.when(F.array_contains(tags, "comment"), True).when(F.array_contains(tags, "story"), False).otherwise(_given(x["comment_text"]).isNotNull() & _given(x["title"]).isNull())
-    theirs = hits("author").join(one, ["person_id", "key"]).where(x["author"] == F.col("key")).withColumn("comment", F.coalesce(comment, F.lit(False)))
+    theirs = hits("author").join(sorted_joins(one), ["person_id", "key"]).where(x["author"] == F.col("key")).withColumn("comment", F.coalesce(comment, F.lit(False)))
     k = F.row_number().over(Window.partitionBy("person_id", "comment").orderBy("ordinal", "pos"))
     theirs = theirs.withColumn("k", k).where(~F.col("comment") | (F.col("k") <= COMMENTS)).drop("k")
     both = by_name.withColumn("comment", F.coalesce(comment, F.lit(False))).withColumn("branch", F.lit(0)).unionByName(theirs.withColumn("branch", F.lit(1) + F.col("comment").cast("int")))
@@ -341,7 +342,7 @@ def search(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataF
     """'results' answers; the result page ('html') only for people whose first source gave no answer, not for those it gave
     an empty one."""
     r = _said(people, answers, "search", "results").withColumn("l", F.from_json("body", "results array<struct<url:string,title:string,content:string,raw_content:string,published_date:string>>")["results"]).where("l is not null")
-    h = _said(people, answers, "search", "html").join(r.select("person_id").distinct(), "person_id", "left_anti")
+    h = _said(people, answers, "search", "html").join(sorted_joins(r.select("person_id").distinct()), "person_id", "left_anti")
     a = r.select("person_id", "who", "ordinal", F.posexplode("l").alias("pos", "x")).select("person_id", "who", "ordinal", "pos", "x.url", "x.title", F.coalesce(_given(F.col("x.raw_content")), F.col("x.content")).alias("content"), F.col("x.published_date").alias("day"))
     b = h.select("person_id", "who", "ordinal", F.posexplode(markup.results("body")).alias("pos", "x")).select("person_id", "who", "ordinal", "pos", unwrap_redirect(F.col("x.url")).alias("url"), "x.title", "x.content", _none().alias("day"))
     d = a.unionByName(b)
@@ -359,7 +360,7 @@ def official_sites(people: DataFrame, answers: DataFrame) -> DataFrame:
     c = c.withColumn("points", R.echoes(F.col("who.terms"), said("labels"), said("descriptions"), aliases, claim_values(F.col("e"), "P856")))
     one = choose_one(c, ["person_id"], "qid", "points", corroborated=True).select("person_id", F.col("chosen").alias("qid"))
     site = F.get(F.filter(claim_values(F.col("e"), "P856"), lambda v: v.rlike("^https?://")), F.lit(0))
-    return c.join(one, ["person_id", "qid"]).select("person_id", site.alias("seed")).where("seed is not null").dropDuplicates(["person_id"])
+    return c.join(sorted_joins(one), ["person_id", "qid"]).select("person_id", site.alias("seed")).where("seed is not null").dropDuplicates(["person_id"])
 
 
 def _in_space(url: Column, base: Column, seed: Column) -> Column:
@@ -416,6 +417,6 @@ def finalise(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def gather(people: DataFrame, answers: DataFrame, kinds: tuple[str, ...] = tuple(CONNECTORS), budget: int = BUDGET) -> DataFrame:
     """Documents of all the readers; a budget of 0 or less has none. A source that failed has no answers, hence no rows."""
-    who = known(people)
+    who, answers = sorted_joins(known(people)), sorted_joins(answers)
     union = reduce(DataFrame.unionByName, (CONNECTORS[k](who, answers, max(budget, 0)) for k in kinds))
     return finalise(union, budget)

@@ -132,3 +132,12 @@ def test_contract(spark, people):
     assert [g[1] for g in got] == ["https://x.org/", "https://z.org/"] and len(got[0][2]) == 300
     assert len(run(spark, people, "search", rows, 1)) == 1 and run(spark, people, "search", rows, 0) == []
     assert markup.officer_parts(None) == [] and markup.result_parts("<a class='result-link' href='https://q.org'>Q") == [{"url": "https://q.org", "title": "Q", "content": ""}]
+
+
+@pytest.mark.parametrize("name", ["search", "wayback", "wikidata", "hn", "github", "openalex", "edgar", "propublica", "self_page", "wikipedia"])
+def test_readers_broadcast_no_table(spark, name):
+    """People and answers grow with the input, however small their compressed files are; and one split is no single task's work."""
+    from kinweave.plans import catalogue
+
+    plan = catalogue.queries()[f"source_{name}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
