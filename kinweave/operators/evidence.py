@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import numbers as N
 from kinweave.functions.text import holds_phrase, is_cited, sentence, slug
+from kinweave.operators.components import cut, sorted_joins
 from kinweave.operators.elections import elect, unambiguous
 
 #: Longest fact, generic hub labels, field hubs kept per person.
@@ -67,7 +68,7 @@ def merge_hubs(hubs: DataFrame) -> DataFrame:
     g = h.groupBy("person_id", "key").agg(F.mode("type", True).alias("type"), F.mode("label", True).alias("label"), F.max("recency").alias("recency"),
         F.bool_or("is_field").alias("is_field"), F.array_distinct(F.flatten(F.transform(listed, lambda x: x["evidence"]))).alias("evidence"), F.min(F.struct("batch_no", "cand_ordinal")).alias("first"))
     q = unambiguous(h.where("qid is not null"), ["person_id", "key"], "qid")
-    g = g.join(q, ["person_id", "key"], "left")
+    g = g.join(sorted_joins(q), ["person_id", "key"], "left")
     return g.withColumn("hub_id", F.coalesce(F.concat(F.lit("wd:"), "qid"), F.concat("type", F.lit(":"), "key")))
 
 
@@ -102,9 +103,11 @@ def collect_hubs(candidates: DataFrame, facts: DataFrame, docs: DataFrame, today
     text, published_at) their documents. Generic labels go; a field hub takes its vocabulary term. Claimed facts are the
     evidence, for a field hub only where their document states the label. Without any, the declared document that states
     it, else the only one of the batch, lends its facts that mention it. No evidence, no hub. A QID stands if the
-    evidence states it and no other as often. Documents meet candidates by person and batch.
+    evidence states it and no other as often. Documents meet candidates by person and batch. The evidence found is cut off: the
+    plan would hold it once for every later use.
     """
     key = ["person_id", "batch_no", "cand_ordinal"]
+    facts, docs = sorted_joins(facts), sorted_joins(docs)
     c = candidates.withColumn("label", sentence(F.col("label"))).where(~F.lower("label").isin(*STOP_LABELS))
     c = c.withColumn("label", F.when(F.col("is_field"), field_label(F.col("label"))).otherwise(F.col("label"))).withColumn("type", F.when(F.col("is_field"), "topic").otherwise(F.col("type")))
     c = c.where(F.coalesce(slug(F.col("label")), F.lit("")) != "").withColumn("qid", F.upper(F.trim("qid"))).withColumn("qid", F.when(F.col("qid").rlike(r"^Q\d+$"), F.col("qid")))
@@ -113,21 +116,20 @@ def collect_hubs(candidates: DataFrame, facts: DataFrame, docs: DataFrame, today
     # (candidate, document) pairs of one batch, each with whether the document states the label
     pairs = c.alias("c").join(d, ["person_id", "batch_no"]).select(*key, F.col("d.doc_id").alias("source"), states.alias("states"), (F.col("d.doc_id") == F.trim("c.doc_id")).alias("declared"))
     said = c.select(*key, "is_field", F.posexplode("claimed").alias("at", "fact_id")).join(facts.select("person_id", "batch_no", "fact_id", F.col("doc_id").alias("source")), ["person_id", "batch_no", "fact_id"])
-    said = said.join(pairs.select(*key, "source", "states"), [*key, "source"]).where("not is_field or states").select(*key, "at", "fact_id", "source", "states")
-    lone = c.join(said.select(*key).distinct(), key, "left_anti")
+    said = said.join(sorted_joins(pairs.select(*key, "source", "states")), [*key, "source"]).where("not is_field or states").select(*key, "at", "fact_id", "source", "states")
+    lone = c.join(sorted_joins(said.select(*key).distinct()), key, "left_anti")
     source = pairs.where("states").groupBy(*key).agg(F.count("*").alias("n"), F.min("source").alias("only"), F.max(F.when(F.col("declared"), F.col("source"))).alias("own")).where("own is not null or n = 1")
-    lent = lone.join(source, key).withColumn("source", F.coalesce("own", "only")).alias("c").join(f, (F.col("c.person_id") == F.col("f.person_id")) & (F.col("c.batch_no") == F.col("f.batch_no")) & (F.col("c.source") == F.col("f.doc_id")))
+    lent = lone.join(sorted_joins(source), key).withColumn("source", F.coalesce("own", "only")).alias("c").join(f, (F.col("c.person_id") == F.col("f.person_id")) & (F.col("c.batch_no") == F.col("f.batch_no")) & (F.col("c.source") == F.col("f.doc_id")))
     lent = lent.where(holds_phrase(F.concat_ws("\n", "f.text", "f.quote"), F.col("c.label"))).select(*(F.col(f"c.{k}").alias(k) for k in key), F.lit(0).alias("at"), F.col("f.fact_id").alias("fact_id"), F.col("c.source").alias("source"), F.lit(True).alias("states"))
     e = said.unionByName(lent)
     source_docs = docs.select("person_id", "batch_no", F.col("doc_id").alias("source"), "kind", "url", "title", "text", "published_at")
-    e = e.join(source_docs, ["person_id", "batch_no", "source"])
+    e = cut(e.join(source_docs, ["person_id", "batch_no", "source"]))
     found = F.transform(F.regexp_extract_all(F.concat_ws("\n", "url", "title", "text"), F.lit(r"(?i)\b(Q\d+)\b"), F.lit(1)), F.upper)
     votes = e.where("kind = 'wikidata'").select(*key, "states", F.explode(F.array_distinct(found)).alias("q")).groupBy(*key, "q").agg(F.count_if("states").alias("n"))
-    top = votes.groupBy(*key).agg(F.max("n").alias("top"))
-    win = votes.join(top, key).where("n = top").groupBy(*key).agg(F.count("*").alias("k"), F.min("q").alias("winner")).where("k = 1").select(*key, "winner")
+    win = votes.withColumn("top", F.max("n").over(Window.partitionBy(*key))).where("n = top").groupBy(*key).agg(F.count("*").alias("k"), F.min("q").alias("winner")).where("k = 1").select(*key, "winner")
     per = e.groupBy(*key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "fact_id"))), lambda x: x["fact_id"])).alias("evidence"),
                               F.max(N.recency(F.col("published_at"), F.lit(today).cast("date"))).alias("recency"))
-    return c.join(per, key).join(win, key, "left").select(*key, "label", "type", F.when(F.col("qid") == F.col("winner"), F.col("qid")).alias("qid"), "recency", F.coalesce("is_field", F.lit(False)).alias("is_field"), "evidence")
+    return c.join(sorted_joins(per), key).join(sorted_joins(win), key, "left").select(*key, "label", "type", F.when(F.col("qid") == F.col("winner"), F.col("qid")).alias("qid"), "recency", F.coalesce("is_field", F.lit(False)).alias("is_field"), "evidence")
 
 
 def place_hubs(hubs: DataFrame, places: DataFrame, people: DataFrame, facts: DataFrame, docs: DataFrame, today: str) -> DataFrame:

@@ -55,3 +55,13 @@ def test_exclusion_match_by_match(spark):
     df = spark.createDataFrame(rows, "t string, w string")
     for r in df.withColumn("g", exclusion.rule_verdict(F.col("t"))["decision"]).collect():
         assert r.w == r.g, r
+
+
+def test_people_and_their_documents_are_not_broadcast(spark):
+    """Tables that grow with the people, and a plan that does not repeat the evidence for every later use."""
+    from kinweave.plans import catalogue
+
+    plan = lambda name: catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    hubs = plan("hub_evidence")
+    assert "Broadcast" not in hubs + plan("verdict_attributes") + plan("strong_keys") and hubs.count("SortMergeJoin") < 20
+    assert "Join" not in plan("verdict_attributes")
