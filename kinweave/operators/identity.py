@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.numbers import clamp01
 from kinweave.functions.text import carries_name, cites_document, mentions_name, mentions_tokens, normalize_ws
+from kinweave.operators.components import sorted_joins
 
 #: Attribute families in the order they are tried, and strong keys by priority.
 FAMILIES = {
@@ -133,7 +134,7 @@ def key_candidates(people: DataFrame, docs: DataFrame) -> DataFrame:
     """(person_id, key, value, details) for strong_keys(), in one pass over docs(person_id, kind, url, title, text) and people
     (person_id, who). A Wikidata item and a filer number need the name and a roster detail, a GitHub account a name and a
     company field, a domain the employer's name."""
-    d = docs.join(people.select("person_id", "who"), "person_id")
+    d = docs.join(sorted_joins(people.select("person_id", "who")), "person_id")
     who, hay = F.col("who"), F.concat_ws("\n", "title", "text")
     employer, city = who["employer"], who["city"]
     named = mentions_tokens(hay, who["name_parts"])

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinweave.functions.roster import roster
 from kinweave.operators import evidence, identity, requests, views
 from kinweave.plans.catalogue import query
 from kinweave.plans.fixtures import FACTS, TODAY, facts, table
 from kinweave.plans.readers import _P, _people
-from kinweave.sources.connectors import known
 
 
 def _who(spark, sf_dir):
-    return _people(spark, sf_dir).join(known(_people(spark, sf_dir)), "person_id")
+    return _people(spark, sf_dir).withColumn("who", roster("name", "details"))
 
 
 @query(f"SELECT person_id, CASE WHEN person_id % 3 <> 0 THEN 'employer' WHEN person_id % 2 = 0 THEN 'school' ELSE 'other' END AS attribute FROM {_P}")
