@@ -39,3 +39,10 @@ def test_no_pairs_are_shuffled(spark):
         plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         above = plan[:plan.index("MapInArrow")]
         assert not any(x in above for x in ("Join", "Aggregate", "Window", "Repartition", "Sort"))
+
+
+def test_equal_contributions_tie_in_any_order(spark):
+    u, v, w = 2.6955149356245047, 1.67990746161205, 0.7224123253469451
+    assert round(u + v + w, 12) != round(w + v + u, 12)
+    rows = spark.createDataFrame([("b", u), ("b", v), ("b", w), ("c", w), ("c", v), ("c", u)], "other_id string, contribution double").coalesce(1)
+    assert len({r.raw for r in rows.groupBy("other_id").agg(affinity._raw()).collect()}) == 1
