@@ -46,3 +46,21 @@ def test_equal_contributions_tie_in_any_order(spark):
     assert round(u + v + w, 12) != round(w + v + u, 12)
     rows = spark.createDataFrame([("b", u), ("b", v), ("b", w), ("c", w), ("c", v), ("c", u)], "other_id string, contribution double").coalesce(1)
     assert len({r.raw for r in rows.groupBy("other_id").agg(affinity._raw()).collect()}) == 1
+
+
+def test_moments_meet_stays_in_groups_without_a_sort(spark, monkeypatch):
+    """A block's moments are dealt into groups, and the join holds a group instead of sorting and spilling stays."""
+    from kinweave.streaming import presence
+
+    monkeypatch.setattr(presence, "GROUP", 3)
+    log = spark.createDataFrame([(i % 7, i * 1700 + i % 3 * 40, i, "arrive" if i % 5 else "leave") for i in range(60)], "person_id long, at long, event_id long, kind string").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    moments = spark.createDataFrame([(i, i * 613) for i in range(160)], "moment_id long, s long").select("moment_id", F.timestamp_seconds("s").alias("at"))
+    met = presence.present_at(log, moments)
+    assert "ShuffledHashJoin" in met._jdf.queryExecution().executedPlan().toString()
+    events = sorted((r.person_id, r.ts, r.event_id, r.kind) for r in log.collect())
+    want = set()
+    for one, after in zip(events, events[1:] + [(None, None, None, None)]):
+        until = after[1] if after[0] == one[0] else None
+        want |= {(m.moment_id, one[0]) for m in moments.collect() if one[3] == "arrive" and one[1] <= m.at and (until is None or m.at < until)}
+    got = [(r.moment_id, r.person_id) for r in met.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
