@@ -316,6 +316,11 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
+def once(c: Column, then) -> Column:
+    """then(c) with c computed once a row, however often it is named: names of a lambda are values, other columns are copied."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def _is_score(words: Column, w: Column, i: Column) -> Column:
     """Whether word i is a score: a share of a hundred, or a whole number up to 100 after a word of scoring."""
     bare = F.regexp_replace(w, _BARE_EDGE, "")
@@ -327,20 +332,21 @@ def _is_score(words: Column, w: Column, i: Column) -> Column:
 def is_speakable(c: Column, most: int = SPOKEN, nouns: Column | None = None) -> Column:
     """Whether a line can be read aloud as it is: not blank, no link, no reference mark, no parenthesis, at most `most` words, no
     score, and no sentence set where a noun belongs. `nouns` (an array) are phrases known to be names, which may look like verbs."""
-    plain = c
-    if nouns is not None:
-        plain = F.aggregate(F.coalesce(nouns, F.array().cast("array<string>")), c, lambda t, n: F.when(F.trim(n) == "", t).otherwise(
-            F.regexp_replace(t, F.concat(F.lit(r"(?iU)(?<!\S)"), F.regexp_replace(F.trim(n), r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"(?!\w)")), F.lit("x"))))
-    words = _words(c)
-    scored = F.exists(F.transform(words, lambda w, i: _is_score(words, w, i)), lambda x: x)
-    return F.coalesce((F.trim(c) != "") & ~c.rlike(_LINK) & ~c.rlike(_MARK) & ~c.rlike("[()]") & (word_count(c) <= most) & ~plain.rlike(_SPLICE) & ~scored, F.lit(False))
+    bare = lambda t: t if nouns is None else F.aggregate(F.coalesce(nouns, F.array().cast("array<string>")), t, lambda t, n: F.when(F.trim(n) == "", t).otherwise(
+        F.regexp_replace(t, F.concat(F.lit(r"(?iU)(?<!\S)"), F.regexp_replace(F.trim(n), r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"(?!\w)")), F.lit("x"))))
+
+    def worded(t: Column, words: Column) -> Column:
+        scored = F.exists(F.transform(words, lambda w, i: _is_score(words, w, i)), lambda x: x)
+        return (F.trim(t) != "") & ~t.rlike(_LINK) & ~t.rlike(_MARK) & ~t.rlike("[()]") & (F.size(words) <= most) & ~scored & ~bare(t).rlike(_SPLICE)
+
+    return F.coalesce(once(c, lambda t: once(_words(t), lambda words: worded(t, words))), F.lit(False))
 
 
 def speakable(c: Column, most: int = SPOKEN) -> Column:
     """A line without what cannot be read aloud: reference marks, parentheses, links and scores go, at most `most` words
     stay, with a full stop if some were cut. A sentence set where a noun belongs cannot be mended."""
     clean = F.translate(F.regexp_replace(F.regexp_replace(c, _MARK, " "), _BRACKETED, " "), "()", "  ")
-    words = F.filter(_words(clean), lambda w: ~w.rlike(_LINK))
-    kept = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), _is_score(words, w, i).alias("s"))), lambda x: ~x["s"]), lambda x: x["w"])
-    line = F.regexp_replace(F.trim(F.array_join(F.slice(kept, 1, most), " ")), r"\s+([.,;:!?])", "$1")
-    return F.when((F.size(kept) > most) & (line != "") & ~line.rlike("[.!?]$"), F.concat(line, F.lit("."))).otherwise(line)
+    unscored = lambda words: F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), _is_score(words, w, i).alias("s"))), lambda x: ~x["s"]), lambda x: x["w"])
+    joined = lambda kept: F.regexp_replace(F.trim(F.array_join(F.slice(kept, 1, most), " ")), r"\s+([.,;:!?])", "$1")
+    stopped = lambda kept: once(joined(kept), lambda line: F.when((F.size(kept) > most) & (line != "") & ~line.rlike("[.!?]$"), F.concat(line, F.lit("."))).otherwise(line))
+    return once(F.filter(_words(clean), lambda w: ~w.rlike(_LINK)), lambda words: once(unscored(words), stopped))

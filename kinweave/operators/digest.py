@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import is_speakable, speakable, word_count
+from kinweave.functions.text import is_speakable, once, speakable, word_count
+from kinweave.operators.components import cut, sorted_joins
 from kinweave.operators.exclusion import NON_OBVIOUS, POLICY, is_displayable
 
 #: Caps, categories of recent news, words and openings of a spoken line.
@@ -96,9 +97,9 @@ def citations(claims: DataFrame, sources: DataFrame) -> DataFrame:
 def spoken_why(matches: DataFrame) -> DataFrame:
     """matches(.., why, labels) with a why that can be read aloud: as it is, else mended, else an admitted blank. The labels of the
     hubs behind it are names, as they stand and as mended."""
-    names = F.concat("labels", F.transform("labels", lambda x: speakable(x)))
-    why, mended = F.trim("why"), speakable(F.trim("why"))
-    return matches.withColumn("why", F.when(is_speakable(why, nouns=names), why).when((mended != "") & is_speakable(mended, nouns=names), mended).otherwise(WHY_LAST))
+    names, why = F.concat("labels", F.transform("labels", lambda x: speakable(x))), F.trim("why")
+    said = lambda w, n: once(speakable(w), lambda mended: F.when(is_speakable(w, nouns=n), w).when((mended != "") & is_speakable(mended, nouns=n), mended).otherwise(WHY_LAST))
+    return matches.withColumn("why", once(F.struct(why.alias("w"), names.alias("n")), lambda x: said(x["w"], x["n"])))
 
 
 def valid_opener(line: Column) -> Column:
@@ -115,7 +116,7 @@ def openers(people: DataFrame, answers: DataFrame, hooks: DataFrame) -> DataFram
     """(person_id, line, quoted): a model's answer(person_id, line) if it may be said, else the template around the first of
     hooks(person_id, fact_id, text, place) with which it may, else the last resort. quoted is the fact that the template shows.
     An answer that came too late or not at all is a missing row."""
-    said = answers.where(valid_opener(F.col("line"))).groupBy("person_id").agg(F.min(F.trim("line")).alias("said"))
+    said = sorted_joins(answers).where(valid_opener(F.col("line"))).groupBy("person_id").agg(F.min(F.trim("line")).alias("said"))
     made = hooks.withColumn("made", F.replace(F.lit(OPENER), F.lit("{}"), F.trim("text"))).where(valid_opener(F.col("made")))
     first = made.groupBy("person_id").agg(F.min_by(F.struct("made", "fact_id"), "place").alias("m"))
     return people.select("person_id").join(said, "person_id", "left").join(first, "person_id", "left").select(
@@ -140,15 +141,17 @@ def make_digest(people: DataFrame, facts: DataFrame, matches: DataFrame, behind:
     Each section is one aggregate per person; sections meet by person. What a section shows is left out by later ones
     as the page demands: recent facts repeat neither the opening line nor the non-obvious one, the opener not the first.
     Sources are the documents of all facts shown, numbered by first mention: who, lately, non-obvious, the
-    three matches in order, the quoted fact.
+    three matches in order, the quoted fact. Displayable facts, which every section reads, are judged once and cut off.
     """
-    shown = facts.where(is_displayable(F.col("text"), F.col("excluded"), F.col("confidence"), F.col("kind")))
+    shown = cut(facts.where(is_displayable(F.col("text"), F.col("excluded"), F.col("confidence"), F.col("kind"))).select(
+        "person_id", "fact_id", "doc_id", "text", "category", "kind", "confidence", "published_at"))
+    people, shown = sorted_joins(people), sorted_joins(shown)
     who = who_line(people, shown)
     who_facts = who.select("person_id", F.posexplode("fact_ids").alias("at", "fact_id"))
     rare = non_obvious(shown.where(F.col("kind").isin(*NON_OBVIOUS)))
     news = lately(shown, who_facts.select("person_id", "fact_id").unionByName(rare))
     say = openers(people, answers, opener_hooks(shown, who_facts))
-    top = meet(spoken_why(matches))
+    top = spoken_why(meet(sorted_joins(matches)))
     behind = behind.join(top.select("person_id", "other_id", "place"), ["person_id", "other_id"]).join(shown.select("person_id", "fact_id"), ["person_id", "fact_id"])
     mention = lambda section, at, rows: rows.select("person_id", "fact_id", F.struct(F.lit(section).alias("section"), at[0].cast("int").alias("at"), at[1].cast("int").alias("then")).alias("mention"))
     zero = F.lit(0)
@@ -158,12 +161,12 @@ def make_digest(people: DataFrame, facts: DataFrame, matches: DataFrame, behind:
     sources = numbered_sources(used.select("digest_id", "mention", "doc_id", "fact_id", "confidence"))
     listed = lambda rows, key, place, what, out: rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, F.struct(*what).alias("x")))), lambda r: r["x"]).alias(out)).withColumnRenamed(key, "person_id")
     page = (
-        people.select("person_id").join(who.select("person_id", F.col("line").alias("who_line")), "person_id", "left")
-        .join(listed(top, "person_id", "place", ("other_id", "score", "why"), "meet"), "person_id", "left")
-        .join(listed(news, "person_id", "place", ("fact_id",), "lately"), "person_id", "left")
-        .join(rare.withColumnRenamed("fact_id", "non_obvious"), "person_id", "left")
-        .join(say.select("person_id", F.col("line").alias("say_out_loud")), "person_id", "left")
-        .join(listed(sources, "digest_id", "number", ("number", "doc_id", "fact_id"), "sources"), "person_id", "left"))
+        people.select("person_id").join(sorted_joins(who.select("person_id", F.col("line").alias("who_line"))), "person_id", "left")
+        .join(sorted_joins(listed(top, "person_id", "place", ("other_id", "score", "why"), "meet")), "person_id", "left")
+        .join(sorted_joins(listed(news, "person_id", "place", ("fact_id",), "lately")), "person_id", "left")
+        .join(sorted_joins(rare.withColumnRenamed("fact_id", "non_obvious")), "person_id", "left")
+        .join(sorted_joins(say.select("person_id", F.col("line").alias("say_out_loud"))), "person_id", "left")
+        .join(sorted_joins(listed(sources, "digest_id", "number", ("number", "doc_id", "fact_id"), "sources")), "person_id", "left"))
     nothing = lambda c: F.coalesce(c, F.array().cast(page.schema[c].dataType))
     return page.select(F.substring(F.sha1(F.concat(F.lit("digest:"), F.col("person_id").cast("string"))), 1, 16).alias("digest_id"), "person_id", "who_line", nothing("meet").alias("meet"),
                        F.transform(nothing("lately"), lambda x: x["fact_id"]).alias("lately"), "non_obvious", "say_out_loud", nothing("sources").alias("sources"), F.lit(POLICY).alias("policy"))
