@@ -19,7 +19,7 @@ from kinweave.functions import markup
 from kinweave.functions import roster as R
 from kinweave.functions.numbers import parse_date
 from kinweave.functions.text import carries_name, clip, deinvert, doc_id, normalize_ws, text_block, unwrap_redirect
-from kinweave.operators.components import sorted_joins
+from kinweave.operators.components import cut, sorted_joins
 from kinweave.operators.elections import choose_one
 
 BUDGET, MAX_TITLE, MIN_ENTRY = 8, 300, 40
@@ -52,6 +52,11 @@ def _said(people: DataFrame, answers: DataFrame, kind: str, endpoint: str) -> Da
     return rows.select("person_id", "key", F.col("ordinal").cast("long").alias("ordinal"), "body").join(people, "person_id")
 
 
+def _parsed(rows: DataFrame, name: str, body: Column) -> DataFrame:
+    """rows with body under a name, parsed once a row: what is generated is never copied into conditions on its fields."""
+    return rows.select("*", F.explode(F.array(body)).alias(name))
+
+
 def _each(rows: DataFrame, items: Column) -> DataFrame:
     return rows.select("person_id", "who", "key", "ordinal", F.posexplode(items).alias("pos", "x"))
 
@@ -78,7 +83,8 @@ def first_per(rows: DataFrame, keys: list[str], order: list, most: int) -> DataF
 def wikipedia(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataFrame:
     """'summary' answers in the order of the title search: articles, not disambiguations, titled with the name, past the gate."""
     s = F.from_json("body", "type string, title string, extract string, description string, timestamp string, titles struct<normalized:string>, content_urls struct<desktop:struct<page:string>>")
-    d = _said(people, answers, "wikipedia", "summary").where(F.col("ordinal") < max(5, min(budget + 3, 10))).withColumn("s", s)
+    d = _said(people, answers, "wikipedia", "summary").where(F.col("ordinal") < max(5, min(budget + 3, 10)))
+    d = _parsed(d, "s", s)
     landed = F.coalesce(_given(F.col("s.titles.normalized")), _given(F.col("s.title")), F.col("key"))
     prose = _texts(F.col("s.extract"), F.col("s.description"))
     d = d.withColumn("landed", landed).where(_given(F.col("s.extract")).isNotNull() & (F.coalesce(F.col("s.type"), F.lit("")) != "disambiguation"))
@@ -152,12 +158,13 @@ def github(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataF
     """'user' answers in search order: the first three logins that pass the gate stand for choice, one point per echoed term and
     two per own address, ties decline. Then the profile, own repositories as pushed ('repos'), and two publishing events ('events')."""
     u = F.from_json("body", "login string, name string, bio string, blog string, html_url string, company string, location string, public_repos long, followers long, created_at string")
-    a = _said(people, answers, "github", "user").where(F.col("ordinal") < LOGINS).withColumn("u", u).where("u.login is not null")
+    a = _parsed(_said(people, answers, "github", "user").where(F.col("ordinal") < LOGINS), "u", u).where("u.login is not null")
     names, prose, urls = _texts(F.col("u.name"), F.col("u.login")), _texts(F.col("u.bio")), _texts(F.col("u.blog"), F.col("u.html_url"))
     context = _texts(F.col("u.company"), F.col("u.location"), F.col("u.blog"), F.col("u.bio"))
     a = a.where(R.identifies(F.col("who"), names, prose, urls, context))
     own = F.size(F.filter(urls, lambda x: R.on_own_host(x, F.col("who.urls"))))
     a = a.withColumn("points", R.echoes(F.col("who.terms"), F.concat(context, names, prose)) + 2 * own).withColumn("login", F.col("u.login"))
+    a = sorted_joins(cut(a.select("person_id", "login", "points", "u")))
     one = a.join(sorted_joins(choose_one(a, ["person_id"], "login", "points").select("person_id", F.col("chosen").alias("login"))), ["person_id", "login"]).dropDuplicates(["person_id"])
     profile = _docs(one, "github", [0, 0, 0], F.coalesce(_given(F.col("u.html_url")), F.concat(F.lit("https://github.com/"), "login")),
                     F.concat(F.coalesce(_given(F.col("u.name")), F.col("login")), F.lit(" ("), "login", F.lit(") on GitHub")),
@@ -233,7 +240,8 @@ def edgar(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataFr
     src = "struct<adsh:string,ciks:string,display_names:string,form:string,root_forms:string,file_date:string,file_description:string>"
     h = _each(_said(people, answers, "edgar", "filings"), F.from_json("body", f"hits struct<hits:array<struct<_id:string,_source:{src}>>>")["hits"]["hits"])
     s = F.col("x._source")
-    names = F.coalesce(F.from_json(s["display_names"], "array<string>"), F.array().cast("array<string>"))
+    h = _parsed(h, "names", F.coalesce(F.from_json(s["display_names"], "array<string>"), F.array().cast("array<string>")))
+    names = F.col("names")
     about = s["file_description"]
     h = h.where(R.identifies(F.col("who"), names, _texts(about), _texts(_none()), F.concat(names, _texts(about))))
     adsh = F.coalesce(_given(s["adsh"]), _given(F.substring_index(F.col("x._id"), ":", 1)))
@@ -250,8 +258,9 @@ def propublica(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> D
     """'search' answers (ordinal: query), each employer number once; 'organization' answers (key: number) list the officers, or
     the 'page' of the first four organisations without any. An officer carries the name and the gate is passed."""
     row = "struct<ein:string,strein:string,name:string,city:string,state:string,ntee_code:string>"
-    o = _each(_said(people, answers, "propublica", "search").where(F.col("ordinal") < R.MAX_QUERIES), F.from_json("body", f"organizations array<{row}>")["organizations"])
-    o = o.withColumn("key", F.col("x.ein")).where(_given(F.col("key")).isNotNull()).groupBy("person_id", "key").agg(F.min_by(F.struct("who", "ordinal", "pos", "x"), F.struct("ordinal", "pos")).alias("r")).select("person_id", "key", "r.*")
+    o = answers.where((F.col("kind") == "propublica") & (F.col("endpoint") == "search") & (F.col("ordinal") < R.MAX_QUERIES))
+    o = o.select("person_id", F.col("ordinal").cast("long").alias("ordinal"), F.posexplode(F.from_json("body", f"organizations array<{row}>")["organizations"]).alias("pos", "x"))
+    o = o.withColumn("key", F.col("x.ein")).where(_given(F.col("key")).isNotNull()).groupBy("person_id", "key").agg(F.min_by(F.struct("ordinal", "pos", "x"), F.struct("ordinal", "pos")).alias("r")).select("person_id", "key", "r.*")
     o = first_per(o, ["person_id"], ["ordinal", "pos"], max(1, min(budget + 3, ORGANISATIONS)))
     staff = "array<struct<name:string,title:string>>"
     got = answers.where("kind = 'propublica' and endpoint = 'organization'").groupBy("person_id", "key").agg(F.min("body").alias("b")).withColumn(
@@ -263,7 +272,8 @@ def propublica(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> D
     o = o.join(got, ["person_id", "key"], "left").withColumn("stated", F.coalesce(some(lines(F.when(F.col("b.organization").isNotNull(), F.col("b.organization.officers")).otherwise(F.col("b.officers")))), some(lines(F.get("b.filings_with_data", F.lit(0))["officers"]))))
     lacking = F.sum(F.when(F.col("stated").isNull(), 1).otherwise(0)).over(Window.partitionBy("person_id").orderBy("ordinal", "pos"))
     o = o.withColumn("asked", F.col("stated").isNull() & (lacking <= PAGES)).join(page, ["person_id", "key"], "left")
-    o = o.withColumn("officers", F.coalesce("stated", F.when(F.col("asked"), markup.officers("html")), F.array().cast("array<string>")))
+    o = o.withColumn("officers", F.coalesce("stated", F.when(F.col("asked"), markup.officers("html")), F.array().cast("array<string>"))).where(F.size("officers") > 0)
+    o = o.select("person_id", "key", "ordinal", "pos", "x", "officers").join(people, "person_id")
     o = o.withColumn("named", F.filter("officers", lambda y: carries_name(F.col("who.name"), y))).where(F.size("named") > 0)
     place = F.concat_ws(", ", _given(F.col("x.city")), _given(F.col("x.state")))
     o = o.where(R.identifies(F.col("who"), F.col("named"), _texts(_none()), _texts(_none()), _texts(F.col("x.name"), place, F.col("x.ntee_code"))))
@@ -280,20 +290,20 @@ def hn(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataFrame
     hits = lambda endpoint: _each(_said(people, answers, "hn", endpoint), F.from_json("body", f"hits array<{hit}>")["hits"])
     x = F.col("x")
     prose, linked = _texts(x["title"], x["story_title"], x["story_text"], x["comment_text"]), _texts(x["url"], x["story_url"])
-    by_name = hits("name").where(R.identifies(F.col("who"), _texts(x["author"]), prose, linked, F.concat(prose, linked)))
+    by_name = sorted_joins(cut(hits("name").where(R.identifies(F.col("who"), _texts(x["author"]), prose, linked, F.concat(prose, linked))).drop("who")))
     stated = people.select("person_id", F.posexplode("who.urls").alias("pos", "u")).where(R.raw_host(F.col("u")).isin("news.ycombinator.com", "www.news.ycombinator.com")).select(
         "person_id", F.array(F.lit(0), F.lit(0), "pos").cast("array<long>").alias("o"), F.trim(F.try_parse_url("u", F.lit("QUERY"), F.lit("id"))).alias("handle"))
     authors = by_name.select("person_id", F.array(F.lit(1), "ordinal", "pos").cast("array<long>").alias("o"), F.trim(x["author"]).alias("handle"))
     handles = stated.unionByName(authors).where("handle <> ''").groupBy("person_id", "handle").agg(F.min("o").alias("o"))
     handles = first_per(handles, ["person_id"], ["o"], HANDLES)
-    p = _said(people, answers, "hn", "profile").withColumn("p", F.from_json("body", "username string, id string, about string"))
+    p = _parsed(_said(people, answers, "hn", "profile"), "p", F.from_json("body", "username string, id string, about string"))
     user, about = F.coalesce(_given(F.col("p.username")), F.col("p.id")), F.col("p.about")
     found = F.transform(F.regexp_extract_all(F.coalesce(about, F.lit("")), F.lit(r"(?i)https?://[^\s<>\"')]+"), F.lit(0)), lambda u: F.regexp_replace(u, "[.,;]+$", ""))
     p = p.where(R.identifies(F.col("who"), _texts(user), _texts(about), found, _texts(about, user))).select("person_id", F.col("key").alias("handle"))
     one = handles.join(sorted_joins(p.distinct()), ["person_id", "handle"]).groupBy("person_id").agg(F.min_by("handle", "o").alias("key"))
     tags = x["_tags"]
     comment = F.when(F.array_contains(tags, "comment"), True).when(F.array_contains(tags, "story"), False).otherwise(_given(x["comment_text"]).isNotNull() & _given(x["title"]).isNull())
-    theirs = hits("author").join(sorted_joins(one), ["person_id", "key"]).where(x["author"] == F.col("key")).withColumn("comment", F.coalesce(comment, F.lit(False)))
+    theirs = hits("author").drop("who").join(sorted_joins(one), ["person_id", "key"]).where(x["author"] == F.col("key")).withColumn("comment", F.coalesce(comment, F.lit(False)))
     k = F.row_number().over(Window.partitionBy("person_id", "comment").orderBy("ordinal", "pos"))
     theirs = theirs.withColumn("k", k).where(~F.col("comment") | (F.col("k") <= COMMENTS)).drop("k")
     both = by_name.withColumn("comment", F.coalesce(comment, F.lit(False))).withColumn("branch", F.lit(0)).unionByName(theirs.withColumn("branch", F.lit(1) + F.col("comment").cast("int")))
@@ -376,7 +386,7 @@ def self_page(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> Da
     to have, then links one hop away. 'page' and 'feed' answers have the address as key. Entries with 40 characters or more
     stand for themselves, others for their page."""
     html = answers.where("kind = 'self_page' and endpoint = 'page' and body is not null").groupBy("person_id", F.col("key").alias("url")).agg(F.min("body").alias("html"))
-    pages = html.withColumn("p", markup.page_at("url", "html")).drop("html")
+    pages = sorted_joins(cut(html.withColumn("p", markup.page_at("url", "html")).drop("html")))
     seeds = people.select("person_id", F.posexplode("who.urls").alias("s", "seed")).unionByName(official_sites(people, answers).withColumn("s", F.lit(0)))
     at_seed = seeds.withColumn("url", F.col("seed")).join(pages, ["person_id", "url"]).where(~markup.is_feed_url(F.col("url")))
     first = at_seed.select("person_id", F.array(F.lit(0), "s", F.lit(0), F.lit(0)).alias("o"), "url", F.col("p.title").alias("title"), F.col("p.text").alias("text"), F.lit(None).cast("date").alias("day"))
@@ -416,7 +426,10 @@ def finalise(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def gather(people: DataFrame, answers: DataFrame, kinds: tuple[str, ...] = tuple(CONNECTORS), budget: int = BUDGET) -> DataFrame:
-    """Documents of all the readers; a budget of 0 or less has none. A source that failed has no answers, hence no rows."""
-    who, answers = sorted_joins(known(people)), sorted_joins(answers)
+    """Documents of all the readers, which share roster lines parsed once and cut off; a budget of 0 or less has none. A source that failed has no answers, hence no rows."""
+    # dealt into a fixed number of parts: rows of few bytes, each costly to parse, would be gathered in one task
+    parts = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = known(people.repartition(parts, "person_id")).select("person_id", F.struct("who.name", "who.urls", "who.terms").alias("who"))
+    who, answers = sorted_joins(cut(parsed)), sorted_joins(answers)
     union = reduce(DataFrame.unionByName, (CONNECTORS[k](who, answers, max(budget, 0)) for k in kinds))
     return finalise(union, budget)
