@@ -56,7 +56,8 @@ def _rewritten(c: Column, table: tuple[str, str, dict[str, str]]) -> Column:
     base = F.translate(c, one, to)
     by = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
     wide = F.array_join(F.transform(F.split(base, ""), lambda x: F.coalesce(F.try_element_at(by, x), x)), "")
-    return F.when(base.rlike("[" + "".join(more) + "]"), wide).otherwise(base)
+    # one look-up a character; a class of hundreds of characters in a pattern would be tried one by one
+    return F.when(F.char_length(F.translate(base, "".join(more), "")) < F.char_length(base), wide).otherwise(base)
 
 
 def unaccent(c: Column) -> Column:
@@ -103,7 +104,11 @@ def is_evidence(quote: Column) -> Column:
 
 def holds_phrase(text: Column, phrase: Column) -> Column:
     """Whether the phrase stands in the text with no letter or digit right before or after it; both folded here."""
-    t, p = folded(text), folded(phrase)
+    return holds_folded(folded(text), folded(phrase))
+
+
+def holds_folded(t: Column, p: Column) -> Column:
+    """holds_phrase() of a text and a phrase that are folded already."""
     escaped = F.regexp_replace(p, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     bounded = F.concat(F.lit(r"(?U)(?<![\p{L}\p{N}])"), escaped, F.lit(r"(?![\p{L}\p{N}])"))
     return F.coalesce((p != "") & F.contains(t, p) & F.regexp_like(t, bounded), F.lit(False))

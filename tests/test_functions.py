@@ -83,3 +83,11 @@ def test_markup(spark):
     feed = "<rss><channel><item><title>T</title><guid>http://a.example/1</guid><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate><description>d</description></item></channel></rss>"
     rows = spark.createDataFrame([(feed,), ("<broken",)], "x string").select(markup.feed("x").alias("e")).collect()
     assert rows[0].e[0].url == "http://a.example/1" and rows[0].e[0].summary == "d" and rows[1].e == []
+
+
+def test_no_class_of_hundreds(spark):
+    """Rare characters are looked up, not tried one by one by a pattern, and are still rewritten."""
+    df = spark.createDataFrame([("é ﬁ ẞ ½",)], "t string").withColumn("s", T.slug(F.col("t"))).withColumn("n", T.normalize_ws(F.col("t")))
+    assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+    r = df.first()
+    assert r.s == "e-fi-1-2" and r.n == "é fi ss ½"
