@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import numbers as N
-from kinweave.functions.text import holds_phrase, is_cited, sentence, slug
+from kinweave.functions.text import folded, holds_folded, holds_phrase, is_cited, is_evidence, sentence, slug
 from kinweave.operators.components import cut, sorted_joins
 from kinweave.operators.elections import elect, unambiguous
 
@@ -24,12 +24,13 @@ def collect_facts(candidates: DataFrame, docs: DataFrame) -> DataFrame:
 
     A candidate goes if text or quote is blank, the text too long, or no document of its batch holds the quote. The
     declared document is preferred; else the only one of its batch that holds it; several are refused. Documents
-    meet candidates by (person_id, batch_no), never all with all. fact_id counts kept facts per document.
+    meet candidates by (person_id, batch_no), never all with all, folded before they meet. fact_id counts kept facts per document.
     """
     c = candidates.withColumn("text", sentence(F.col("text"))).where((F.col("text") != "") & (F.trim("quote") != "") & (F.char_length("text") <= MAX_FACT_CHARS))
     key = ["person_id", "batch_no", "cand_ordinal"]
-    d = docs.select("person_id", "batch_no", F.col("doc_id").alias("source_id"), F.col("text").alias("source_text"))
-    held = c.join(d, ["person_id", "batch_no"]).where(is_cited(F.col("quote"), F.col("source_text")))
+    d = docs.select("person_id", "batch_no", F.col("doc_id").alias("source_id"), folded(F.col("text")).alias("folded_text"))
+    q = c.where(is_evidence(F.col("quote"))).select(*key, "doc_id", folded(F.col("quote")).alias("folded_quote"))
+    held = q.join(d, ["person_id", "batch_no"]).where(holds_folded(F.col("folded_text"), F.col("folded_quote")))
     found = held.groupBy(*key).agg(F.count("*").alias("n"), F.min("source_id").alias("only"), F.bool_or(F.col("source_id") == F.col("doc_id")).alias("declared"))
     kept = c.join(found, key).where(F.col("declared") | (F.col("n") == 1)).withColumn("doc_id", F.when(F.col("declared"), F.col("doc_id")).otherwise(F.col("only")))
     return number_facts(kept, ["batch_no", "cand_ordinal"]).drop("n", "only", "declared")
