@@ -427,9 +427,8 @@ def finalise(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def gather(people: DataFrame, answers: DataFrame, kinds: tuple[str, ...] = tuple(CONNECTORS), budget: int = BUDGET) -> DataFrame:
     """Documents of all the readers, which share roster lines parsed once and cut off; a budget of 0 or less has none. A source that failed has no answers, hence no rows."""
-    # dealt into a fixed number of parts: rows of few bytes, each costly to parse, would be gathered in one task
-    parts = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parsed = known(people.repartition(parts, "person_id")).select("person_id", F.struct("who.name", "who.urls", "who.terms").alias("who"))
-    who, answers = sorted_joins(cut(parsed)), sorted_joins(answers)
+    who = cut(known(people))
+    # what readers need of it
+    who, answers = sorted_joins(who.select("person_id", F.struct("who.name", "who.urls", "who.terms").alias("who"))), sorted_joins(answers)
     union = reduce(DataFrame.unionByName, (CONNECTORS[k](who, answers, max(budget, 0)) for k in kinds))
     return finalise(union, budget)

@@ -144,7 +144,7 @@ def test_readers_broadcast_no_table(spark, name):
 
 
 def test_answers_parsed_once(spark, people):
-    """A parsed answer is not copied into the conditions on its fields, and roster lines are parsed once, in more than one task."""
+    """A parsed answer is not copied into the conditions on its fields, and roster lines are parsed once."""
     for kind, most in (("wikipedia", 1), ("github", 3), ("hn", 2), ("edgar", 29)):
         plan = C.gather(people, spark.createDataFrame([], ANSWER).repartition(2), (kind,))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") <= most and "roster(" not in plan, (kind, plan.count("from_json"))
