@@ -241,12 +241,37 @@ def looks_binary(text: Column) -> Column:
     return F.coalesce((n > 0) & (F.contains(head, F.lit("\x00")) | (bad > 0.1 * n) | (control > 0.02 * n)), F.lit(False))
 
 
+def invert(words: Column) -> Column:
+    """Inverted index {word: [positions]} of an array of words, as JSON. One sort of all words inside the row: runs of a word are its
+    entries, so nothing is shuffled."""
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.struct(x["w"].alias("w"), i.alias("at"), F.coalesce(F.get(s, i - 1)["w"] != x["w"], F.lit(True)).alias("k"))), lambda x: x["k"])
+        place = lambda x, to: F.transform(F.slice(s, x["at"] + 1, to - x["at"]), lambda y: y["p"])
+        return once(heads, lambda h: F.transform(h, lambda x, i: F.struct(x["w"].alias("w"), place(x, F.coalesce(F.get(h, i + 1)["at"], F.size(s))).alias("ps"))))
+
+    return F.to_json(F.map_from_entries(once(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p")))), runs)))
+
+
+#: Fixed value: the longest name of a field that Spark's JSON parser reads; it has no such limit on values.
+MAX_NAME = 50_000
+
+
+def _long_entries(index_json: Column) -> Column:
+    """Entries of an inverted index with a word too long for a name: words become values. Escaped backslashes and quotes
+    stand aside as raw control characters, which JSON has none of, so that a word ends at the next quote."""
+    aside = F.replace(F.replace(index_json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    rows = F.regexp_replace(F.regexp_replace(aside, r'"([^"]*)"\s*:\s*(\[[^\]]*\])', '{"key":"$1","value":$2}'), r"(?s)^\s*\{(.*)\}\s*$", "[$1]")
+    back = F.replace(F.replace(rows, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.from_json(back, "array<struct<key:string,value:array<int>>>", {"maxStringLen": str(2**31 - 1)})
+
+
 def deinvert(index_json: Column) -> Column:
     """Text of an inverted index {word: [positions]}; of words at one position the last stays. One sort of all positions."""
-    entries = F.map_entries(F.from_json(index_json, "map<string,array<int>>"))
+    read = lambda j: F.coalesce(F.map_entries(F.from_json(j, "map<string,array<int>>")), F.when(F.char_length(j) > MAX_NAME, _long_entries(j)))
+    entries = once(index_json, read)
     words = F.flatten(F.transform(entries, lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
     last = lambda s: F.transform(F.filter(F.transform(s, lambda x, i: F.struct(x["w"].alias("w"), F.coalesce(F.get(s, i + 1)["p"] != x["p"], F.lit(True)).alias("k"))), lambda x: x["k"]), lambda x: x["w"])
-    return F.array_join(F.get(F.transform(F.array(F.array_sort(words)), last), F.lit(0)), " ")
+    return F.array_join(once(F.sort_array(words), last), " ")
 
 
 def looks_like(body: Column) -> Column:

@@ -78,6 +78,16 @@ def test_citations_of_few_words(spark, tmp_path):
     assert got == sorted(c.execute(catalogue.oracle_sql()["citation_guard"]).fetchall()) and (0, 1) in got and (2, 7) in got
 
 
+def test_deinvert_within_the_row(spark, tmp_path):
+    """Nothing is shuffled, and texts that are odd come back as SQL reads them."""
+    texts = [None, "", " ", "b a b", "a\x0bb c\x0bd", "x\x1cy \x85 z", "q" * 60_000 + ' "b" \\ \\" {"a": [1]} ' + '"\\' * 30_000, " lead  tail \n\r\f\t", " ".join(f"t{i % 977}" for i in range(20_000))]
+    spark.createDataFrame([*enumerate(texts), (3, "twice b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.queries()["deinvert"](spark, str(tmp_path))
+    want = duckdb.connect().execute(f"with documents as (select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')) {catalogue.oracle_sql()['deinvert']}").fetchall()
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr) and len(want) == len(texts) + 1
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_without_the_corpus_operators(spark):
     import __spark_entry__ as entry
 
