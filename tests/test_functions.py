@@ -85,6 +85,22 @@ def test_markup(spark):
     assert rows[0].e[0].url == "http://a.example/1" and rows[0].e[0].summary == "d" and rows[1].e == []
 
 
+def test_pages_go_to_python_by_hundreds(spark):
+    """No Arrow batch, in which a Python worker would hold ten thousand pages at once; not even where Spark prefers them."""
+    df = spark.createDataFrame([(None, None), ("http://a.example/", "<title>T</title><p>x<a href='/z#y'>z</a>")], "u string, h string")
+    made = (markup.page("h"), markup.page_at("u", "h"), markup.feed("h"), markup.results("h"), markup.officers("h"), markup.decode_body(F.encode("h", "utf-8"), "u"))
+    spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
+    try:
+        for column in made:
+            plan = df.select(column.alias("p"))._jdf.queryExecution().executedPlan().toString()
+            assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+        blank, full = df.select(*(c.alias(f"c{i}") for i, c in enumerate(made))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.pythonUDF.arrow.enabled")
+    assert (blank.c0.text, blank.c0.title, blank.c0.links, blank.c1.links, blank.c2, blank.c3, blank.c4, blank.c5) == ("", None, [], [], [], [], [], "")
+    assert (full.c0.text, full.c0.title, full.c0.links, full.c1.links) == ("xz", "T", ["/z#y"], ["http://a.example/z"]) and full.c5.startswith("<title>")
+
+
 def test_no_class_of_hundreds(spark):
     """Rare characters are looked up, not tried one by one by a pattern, and are still rewritten."""
     df = spark.createDataFrame([("é ﬁ ẞ ½",)], "t string").withColumn("s", T.slug(F.col("t"))).withColumn("n", T.normalize_ws(F.col("t")))
