@@ -354,7 +354,7 @@ def search(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> DataF
     r = _said(people, answers, "search", "results").withColumn("l", F.from_json("body", "results array<struct<url:string,title:string,content:string,raw_content:string,published_date:string>>")["results"]).where("l is not null")
     h = _said(people, answers, "search", "html").join(sorted_joins(r.select("person_id").distinct()), "person_id", "left_anti")
     a = r.select("person_id", "who", "ordinal", F.posexplode("l").alias("pos", "x")).select("person_id", "who", "ordinal", "pos", "x.url", "x.title", F.coalesce(_given(F.col("x.raw_content")), F.col("x.content")).alias("content"), F.col("x.published_date").alias("day"))
-    b = h.select("person_id", "who", "ordinal", F.posexplode(markup.results("body")).alias("pos", "x")).select("person_id", "who", "ordinal", "pos", unwrap_redirect(F.col("x.url")).alias("url"), "x.title", "x.content", _none().alias("day"))
+    b = h.select("person_id", "who", "ordinal", F.posexplode_outer(markup.results("body")).alias("pos", "x")).where("pos is not null").select("person_id", "who", "ordinal", "pos", unwrap_redirect(F.col("x.url")).alias("url"), "x.title", "x.content", _none().alias("day"))
     d = a.unionByName(b)
     d = d.where(R.identifies(F.col("who"), _texts(_none()), _texts(F.col("title"), F.col("content")), _texts(F.col("url")), _texts(F.col("url"))))
     return _docs(d, "search", [F.col("ordinal"), F.col("pos")], F.col("url"), F.coalesce("title", F.lit("")), text_block(F.col("title"), F.col("content")), parse_date(F.col("day")))
@@ -396,7 +396,7 @@ def self_page(people: DataFrame, answers: DataFrame, budget: int = BUDGET) -> Da
     found = found.unionByName(seeds.where(markup.is_feed_url(F.col("seed"))).select("person_id", "s", "seed", F.lit(-1).alias("k"), F.col("seed").alias("feed")))
     found = found.groupBy("person_id", "feed").agg(F.min(F.struct("s", "k", "seed")).alias("f")).select("person_id", "feed", "f.*")
     feeds = answers.where("kind = 'self_page' and endpoint = 'feed' and body is not null").groupBy("person_id", F.col("key").alias("feed")).agg(F.min("body").alias("xml"))
-    e = found.join(feeds, ["person_id", "feed"]).select("person_id", "feed", "seed", "s", "k", F.posexplode(markup.feed("xml")).alias("j", "e"))
+    e = found.join(feeds, ["person_id", "feed"]).select("person_id", "feed", "seed", "s", "k", F.posexplode_outer(markup.feed("xml")).alias("j", "e")).where("j is not null")
     e = e.where(_in_space(F.col("e.url"), F.col("feed"), F.col("seed")) & ~markup.is_feed_url(F.col("e.url")))
     e = e.withColumn("body", F.when(F.contains("e.summary", F.lit("<")), markup.page("e.summary")["text"]).otherwise(F.col("e.summary")))
     e = e.withColumn("text", text_block(F.col("e.title"), F.col("body"))).withColumn("url", F.col("e.url")).join(pages, ["person_id", "url"], "left")

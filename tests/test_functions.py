@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import markup
 from kinweave.functions import numbers as N
 from kinweave.functions import text as T
+from kinweave.plans import documents
 
 
 def one(spark, column, **values):
@@ -101,6 +102,15 @@ def test_pages_go_to_python_by_hundreds(spark):
     assert (full.c0.text, full.c0.title, full.c0.links, full.c1.links) == ("xz", "T", ["/z#y"], ["http://a.example/z"]) and full.c5.startswith("<title>")
 
 
+def test_pages_are_read_once_for_their_links(spark, tmp_path):
+    """The plan has one call of Python, without one more for a filter before the explosion; pages without links have no rows."""
+    rows = [(1, "<a href='/x'>x</a><a href=''>y</a><a href='/z'>z</a>"), (2, None), (3, "<p>no link</p>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = documents.pages_links(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, 0, "/x"), (1, 1, "/z")] and df.columns == ["page_id", "at", "link"]
+    assert df._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+
+
 def test_no_class_of_hundreds(spark):
     """Rare characters are looked up, not tried one by one by a pattern, and are still rewritten."""
     df = spark.createDataFrame([("é ﬁ ẞ ½",)], "t string").withColumn("s", T.slug(F.col("t"))).withColumn("n", T.normalize_ws(F.col("t")))
